@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, packing, simhash, token_files
 
 
 def _docs(spark, sf_dir):
@@ -44,5 +44,33 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC,
  doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST) AS kept, sha256(norm) AS text_sha256 FROM d
 """
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op8_exact_dedup)}
-SQL = {"op1_mix_sources": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+def op3_line_dedup(spark, sf_dir):
+    d = line_dedup.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM s),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last AS lost FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT lost), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def op4_simhash(spark, sf_dir):
+    return simhash.near_copies(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+def op5_token_files(spark, sf_dir):
+    return token_files.write_and_read(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_best_fit_packing, op3_line_dedup, op4_simhash, op5_token_files, op8_exact_dedup)}
+SQL = {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_exact_dedup": OP8_SQL}
