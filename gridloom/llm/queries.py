@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, simhash, token_files
+from . import embedding_dedup, exact_dedup, html_text, langid, line_dedup, mixing, packing, simhash, suffix_dedup, token_files
 
 
 def _docs(spark, sf_dir):
@@ -72,5 +72,21 @@ def op5_token_files(spark, sf_dir):
     return token_files.write_and_read(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_best_fit_packing, op3_line_dedup, op4_simhash, op5_token_files, op8_exact_dedup)}
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.drop_repeats(_docs(spark, sf_dir).select("doc_id", "text")).drop("kept")
+
+
+def op9_language_id(spark, sf_dir):
+    return langid.identify(_docs(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_html_text(spark, sf_dir):
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_best_fit_packing, op3_line_dedup, op4_simhash, op5_token_files, op6_embedding_dedup, op7_suffix_dedup, op8_exact_dedup, op9_language_id, op10_html_text)}
 SQL = {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_exact_dedup": OP8_SQL}
