@@ -161,7 +161,9 @@ def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", label: st
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0, **options) -> DataFrame:
-    """Documents in a known language with at least the given score, with their own columns."""
-    found = identify(docs.select("*", F.col(options.get("text", "text")).alias("_copy")).drop("_copy"), **options)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+def keep_identified(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "lang", least: float = 0.0) -> DataFrame:
+    """Documents in a known language with at least the given score, with all their own columns."""
+    plain = {c: f"k{i}" for i, c in enumerate(docs.columns)}
+    found = identify(docs.withColumnsRenamed(plain), plain[text], plain[key], plain[label])
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col(k).alias(c) for c, k in plain.items()])

@@ -288,3 +288,10 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     hot = F.col("n") >= F.lit(max(1000, prints.count() // HOT_KEYS + 1))
     out = lookup(prints, "fp", named.select("fp", "n", "component_id"), "fp", hot)
     return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, distance: int = 3) -> DataFrame:
+    """The documents with the smallest key of their group, with all their own columns (rows with a null key stay)."""
+    groups = near_copies(docs.select(key, text), text, key, width, distance)
+    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
+    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
