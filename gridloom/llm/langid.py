@@ -164,6 +164,6 @@ def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", label: st
 def keep_identified(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "lang", least: float = 0.0) -> DataFrame:
     """Documents in a known language with at least the given score, with all their own columns."""
     plain = {c: f"k{i}" for i, c in enumerate(docs.columns)}
-    found = identify(docs.withColumnsRenamed(plain), plain[text], plain[key], plain[label])
+    found = identify(docs.toDF(*plain.values()), plain[text], plain[key], plain[label])
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.select(*[F.col(k).alias(c) for c, k in plain.items()])

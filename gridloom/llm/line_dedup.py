@@ -246,7 +246,7 @@ class LineIndex:
 
 def rewrite(docs: DataFrame, losses: DataFrame, text: str = "text", key: str = "doc_id", least: int = 20) -> DataFrame:
     """docs with text rewritten, and with n_lines (before) and n_dropped added; texts that lose nothing stay as they are."""
-    inner = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(docs.columns)})
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     k, t = (f"c{docs.columns.index(c)}" for c in (key, text))
     joined = inner.join(losses.select(F.col("doc").alias("_doc"), F.col("keys").alias("_keys")), F.col(k).cast("bigint").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields) + ", n_lines bigint, n_dropped bigint"
@@ -275,7 +275,7 @@ def rewrite(docs: DataFrame, losses: DataFrame, text: str = "text", key: str = "
 
     inner_names = list(inner.columns)
     out = joined.mapInArrow(run, schema)
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_dropped")}).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = 3, least: int = 20) -> DataFrame:
