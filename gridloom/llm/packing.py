@@ -2,8 +2,9 @@
 
 A piece goes where the sum, over residual gaps, of the squared number of open
 bins with that gap becomes smallest.  Shards of bounded size are packed on their
-own; the bins that they leave open are then packed as items, again in shards,
-until one shard holds what is open.
+own.  A bin is opened only where nothing has room, so a shard leaves one bin at
+most that is no more than half full; those are packed again as items, and so on
+until one shard holds them all.
 """
 
 from __future__ import annotations
@@ -107,10 +108,10 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
     placed = stage(_round(short.select("item", F.col("length").alias("size")), shards, capacity), "op2")
     level, place = 0, placed.select("item", "bin", "offset")
     while shards > 1:
-        # bins left open become items of the next round; a bin moves as one block
+        # bins at most half full become items of the next round; a bin moves as one block
         level += 1
         room = placed.groupBy("bin").agg(F.first("filled").alias("size"))
-        opened = room.where(F.col("size") < capacity)
+        opened = room.where(F.col("size") * 2 <= capacity)
         shards = max(1, -(-opened.count() // shard_pieces))
         again = _round(opened.select(F.col("bin").alias("item"), "size"), shards, capacity)
         placed = stage(again.withColumn("bin", F.col("bin") + F.lit(level << 56)), "op2")

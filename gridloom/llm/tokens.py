@@ -16,7 +16,8 @@ from array import array
 
 #: Unicode White_Space, spelled out: Python's own \s also holds U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
+#: Letters that stay one letter in lower case: U+0130 becomes two characters.
+LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u024f"
 _SEGMENTS = re.compile(f"[{SPACE}]*(?:[{LETTERS}]+(?=[,.{SPACE}]|$)|[^{SPACE}]+)|[{SPACE}]+")
 #: Lines that the quick cut by plain replacement would get wrong.
 _ODD = re.compile(f"(?:[^{LETTERS}]|^)[,.]|[,.][^ ]|[ ] |^ | $|[\\t\\x0b-\\r\\x00\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
