@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 from .common import HOT_KEYS, components, lookup, stage
 
 BITS = 64
-#: A bucket beyond this size is split by further bits before it is verified.
+#: A bucket beyond this size is split by more bits, once by each of these ways to cut all bits into blocks;
+#: what is then together shares most of its bits and is verified together, however much it is.
 BUCKET_ROWS = 20_000
+SPLITS = (
+    lambda n: [sum(1 << b for b in range(BITS) if b % n == k) for k in range(n)],
+    lambda n: [sum(1 << b for b in range(BITS) if b * n // BITS == k) for k in range(n)],
+    lambda n: [sum(1 << b for b in range(BITS) if (b * n * n // BITS) % n == k) for k in range(n)],
+)
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -55,7 +61,8 @@ def _signed(mask: int) -> int:
 
 
 def correlated_partitions(together, n: int, m: int) -> list[list[int]]:
-    """m groups of bits of near-equal size; each grows by the bit most correlated with its first ones.
+    """m groups of bits of near-equal size; each starts with the bit most correlated
+    with those left and grows by the bit most correlated with the group.
 
     together[i][j]: in how many of n fingerprints bits i and j are both set.
     """
@@ -68,7 +75,7 @@ def correlated_partitions(together, n: int, m: int) -> list[list[int]]:
     left, groups = set(range(BITS)), []
     for g in range(m):
         size = -(-len(left) // (m - g))
-        group = [min(left, key=lambda b: (abs(p[b] - 0.5), b))]
+        group = [max(left, key=lambda b: (strong[b, sorted(left)].sum(), -b))]
         left.discard(group[0])
         while len(group) < size:
             best = max(left, key=lambda b: (strong[b, group].sum(), -b))
@@ -133,7 +140,7 @@ def plan(fps: DataFrame, distance: int = 3, choices=(2, 3, 4)) -> list[tuple[lis
             for j in range(distance + 1):
                 near += same.get((m, k), 0.0) * (spread[j] if j < len(spread) else 0.0)
                 probes += ways
-                row.append(near + 20.0 * n * (probes + (j > 0)))
+                row.append(near + 20.0 * max(n, 1) * (probes + (j > 0)))
                 ways = ways * (len(group) - j) // (j + 1)
             cost.append(row)
         chosen = allocate(cost, distance - m + 1)
@@ -160,27 +167,25 @@ def links(fps: DataFrame, distance: int = 3, bucket_rows: int = BUCKET_ROWS, cho
         for flip in _probes(group, threshold):
             entries.append((mask, flip))
     # a probe at threshold t also meets the plain entry of its neighbour, so plain entries stand once
-    rows = F.array(*[F.struct(F.lit(_signed(mask)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(flip))).alias("v"), F.lit(flip != 0).alias("probe")) for mask, flip in entries])
-    buckets = fps.select("fp", F.explode(rows).alias("x")).select("fp", "x.*")
-    masks = {mask for mask, _ in entries}
+    # the table of probes is one constant: expressions of each fingerprint come after it is exploded
+    table = F.array(*[F.struct(F.lit(_signed(mask)).alias("mask"), F.lit(_signed(flip)).alias("flip")) for mask, flip in entries])
+    probes = fps.select("fp", F.explode(table).alias("x")).select("fp", "x.*")
+    buckets = probes.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("v"), (F.col("flip") != 0).alias("probe"))
     out, rest = None, buckets
-    while True:
+    for blocks in SPLITS:
         sizes = rest.groupBy("mask", "v").count().where(F.col("count") > bucket_rows)
         big = stage(sizes.select(F.col("mask").alias("_m"), F.col("v").alias("_v")), "op4-big")
-        free = {m: [b for b in range(BITS) if not m >> b & 1] for m in masks}
-        masks_full = [m for m in masks if not free[m]]
-        if masks_full or not big.take(1):
-            return verified(rest, distance) if out is None else out.union(verified(rest, distance))
-        # a large bucket: its fingerprints agree in one of distance + 1 blocks of the other bits
+        if not big.take(1):
+            break
+        # two fingerprints within the distance agree in one of distance + 1 blocks, whatever the bits already fixed
         on = (F.col("mask") == F.col("_m")) & (F.col("v") == F.col("_v"))
         part = verified(rest.join(big, on, "left_anti"), distance)
         out = part if out is None else out.union(part)
         large = stage(rest.join(big, on, "left_semi"), "op4-large")
-        blocks = {m: [sum(1 << b for b in f[k :: distance + 1]) for k in range(distance + 1)] for m, f in free.items()}
-        split = F.create_map(*[x for m, bs in blocks.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(b)) for b in bs]))])
-        large = large.withColumn("block", F.explode(F.element_at(split, F.col("mask"))))
-        rest = large.select("fp", F.col("mask").bitwiseOR(F.col("block")).alias("mask"), F.col("v").bitwiseOR(F.col("fp").bitwiseAND(F.col("block"))).alias("v"), "probe")
-        masks = {m | b for m, bs in blocks.items() for b in bs}
+        large = large.withColumn("block", F.explode(F.array(*[F.lit(_signed(b)) for b in blocks(distance + 1)])))
+        new = F.col("fp").bitwiseAND(F.col("block")).bitwiseAND(F.bitwise_not("mask"))
+        rest = stage(large.select("fp", F.col("mask").bitwiseOR(F.col("block")).alias("mask"), F.col("v").bitwiseOR(new).alias("v"), "probe"), "op4-split")
+    return verified(rest, distance) if out is None else out.union(verified(rest, distance))
 
 
 def spanning(fp, distance: int):
@@ -293,5 +298,6 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, distance: int = 3) -> DataFrame:
     """The documents with the smallest key of their group, with all their own columns (rows with a null key stay)."""
     groups = near_copies(docs.select(key, text), text, key, width, distance)
-    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone")).distinct()
+    inner = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return inner.join(gone, F.col(f"c{docs.columns.index(key)}") == F.col("gone"), "left_anti").toDF(*docs.columns)
