@@ -1,0 +1,102 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import embedding_dedup as ed
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+def usable(v):
+    return bool(v) and None not in v and all(map(math.isfinite, v)) and any(v)
+
+
+def brute(rows, cosine=0.98):
+    """{key: (links, component, kept)} by comparing all pairs."""
+    n = len(rows)
+    root, links = list(range(n)), [0] * n
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    unit = [np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)) if usable(v) else None for _, v, _ in rows]
+    for i in range(n):
+        for j in range(i):
+            if rows[i][2] is not None and rows[i][2] == rows[j][2] and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= cosine:
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    least = {}
+    for i in range(n):
+        least[find(i)] = min(least.get(find(i), rows[i][0]), rows[i][0])
+    return {rows[i][0]: (links[i], least[find(i)], least[find(i)] == rows[i][0]) for i in range(n)}
+
+
+def shown(df):
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in df.collect()}
+
+
+def planted(n=700, width=16, seed=5):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n // 2, width))
+    out = []
+    for k in range(n):
+        v = base[rng.integers(len(base))] if k % 3 else rng.normal(size=width)
+        v = v + rng.normal(size=width) * (0.05 if k % 2 else 0.12)
+        out.append([k * 2, [float(np.float32(x)) for x in v], int(rng.integers(3))])
+    for k in range(0, 60, 5):
+        out[k + 1][1:] = out[k][1:]  # equal vectors
+    out += [[5001, None, 1], [5002, [], 1], [5003, [0.0] * width, 1], [5004, [float("nan"), *[1.0] * (width - 1)], 1], [5005, [float("inf"), *[1.0] * (width - 1)], 1], [5006, [None, *[1.0] * (width - 1)], 1], [5007, out[3][1], None], [5008, out[3][1][:5], 1], [5009, out[3][1][:5], 1], [5010, [3e38] * width, 1], [5011, [1e-38] * width, 1]]
+    return [tuple(x) for x in out]
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    return planted()
+
+
+def test_every_cell_within_the_safe_radius_gives_all_links(spark, vectors):
+    df = spark.createDataFrame(vectors, SCHEMA).repartition(3)
+    assert shown(ed.link_vectors(df, recall=1.0)) == brute(vectors)
+
+
+def test_recall_and_no_false_links(spark, vectors):
+    found, truth = shown(ed.link_vectors(spark.createDataFrame(vectors, SCHEMA).repartition(3))), brute(vectors)
+    assert set(found) == set(truth)
+    assert sum(x[0] for x in found.values()) >= 0.97 * sum(x[0] for x in truth.values())
+    assert all(found[k][0] <= truth[k][0] for k in truth)
+
+
+def test_hot_vector_and_many_copies(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, [1.0, 2.0, 3.0, 4.0] if k % 2 else [float(x) for x in rng.normal(size=4).astype("f4")], 0) for k in range(500)]
+    assert shown(ed.link_vectors(spark.createDataFrame(rows, SCHEMA), recall=1.0)) == brute(rows)
+
+
+def test_blocks_of_a_crowded_cell(spark, vectors, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK_ROWS", 10)
+    assert shown(ed.link_vectors(spark.createDataFrame(vectors, SCHEMA), recall=1.0)) == brute(vectors)
+
+
+def test_clashing_names_and_null_keys(spark, vectors):
+    df = spark.createDataFrame(vectors[:90], SCHEMA)
+    wide = df.select("*", *[F.lit("x").alias(c) for c in ("id", "vec", "cid", "grp", "n", "ckey", "cell", "probe", "n_links", "component_id", "kept", "root", "first")])
+    assert shown(ed.link_vectors(wide, recall=1.0)) == brute(vectors[:90])
+    keyless = spark.createDataFrame([(None, [1.0, 2.0], 1), (4, [1.0, 2.0], 1), (None, None, None)], SCHEMA)
+    assert sorted(map(tuple, ed.link_vectors(keyless).collect()), key=repr) == sorted([(None, 1, 4, True), (4, 1, 4, True), (None, 0, None, True)], key=repr)
+
+
+def test_multi_sequence_visits_cells_in_order():
+    rng = np.random.default_rng(1)
+    a, b = rng.random(12), rng.random(9)
+    cells = ed.multi_sequence(a, b, 0.9)
+    sums = [a[i] + b[j] for i, j in cells]
+    assert sums == sorted(sums) and set(cells) == {(i, j) for i in range(12) for j in range(9) if a[i] + b[j] <= 0.9}
+
+
+def test_empty(spark):
+    assert ed.link_vectors(spark.createDataFrame([], SCHEMA)).count() == 0

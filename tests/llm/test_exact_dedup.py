@@ -1,0 +1,62 @@
+import hashlib
+import re
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from gridloom.llm import exact_dedup
+
+
+def bare(text):
+    return re.sub(r"[\x20\x09-\x0D]+", "", text or "")
+
+
+def brute(rows):
+    groups = defaultdict(list)
+    for key, text in rows:
+        groups[bare(text)].append((-len(text or ""), key is None, key))
+    out = []
+    for key, text in rows:
+        keep = min(groups[bare(text)])[2]
+        out.append((key, keep, len(groups[bare(text)]), key == keep, hashlib.sha256(bare(text).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def shown(df):
+    return sorted(map(tuple, df.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=repr)
+
+
+def test_matches_brute_force(docs, rows):
+    assert shown(exact_dedup.mark_copies(docs)) == brute([r[:2] for r in rows])
+
+
+def test_repeated_rows_null_keys_and_clashing_names(odd):
+    assert shown(exact_dedup.mark_copies(odd)) == brute([(r.doc_id, r.text) for r in odd.collect()])
+
+
+def test_equal_digests_are_told_apart_by_content(docs, rows):
+    found = shown(exact_dedup.mark_copies(docs, digest=lambda norm: F.substring(F.md5(norm), 1, 1)))
+    assert found == brute([r[:2] for r in rows])
+
+
+def test_hot_group(spark):
+    df = spark.range(9000).select((F.col("id") - 4500).alias("doc_id"), F.when(F.col("id") % 2 == 0, "the same").otherwise(F.col("id").cast("string")).alias("text"))
+    assert shown(exact_dedup.mark_copies(df)) == brute([(k - 4500, "the same" if k % 2 == 0 else str(k)) for k in range(9000)])
+
+
+def test_extreme_keys(spark):
+    rows = [(2**63 - 1, "a b"), (-(2**63), "ab"), (0, "a  b"), (7, "ab")]
+    assert shown(exact_dedup.mark_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
+
+
+def test_drop_keeps_one_of_each(odd):
+    kept = exact_dedup.drop_copies(odd)
+    assert kept.columns == odd.columns
+    rows = odd.collect()
+    stays = {(x[4], x[0]) for x in brute([(r.doc_id, r.text) for r in rows]) if x[3]}
+    wanted = [repr(r) for r in rows if (hashlib.sha256(bare(r.text).encode()).hexdigest(), r.doc_id) in stays]
+    assert sorted(map(repr, kept.collect())) == sorted(wanted)
+
+
+def test_empty(nothing):
+    assert exact_dedup.mark_copies(nothing).count() == 0 and exact_dedup.drop_copies(nothing).count() == 0

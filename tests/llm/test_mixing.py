@@ -1,0 +1,72 @@
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import mixing
+
+
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    """Water filling by steps: whoever is above its limit is held there, the rest is shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    left, held = share * sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in held]
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total >= most * sizes[s]]
+        if not over:
+            return held | {s: left * weight[s] / total for s in free}
+        for s in over:
+            held[s] = float(most * sizes[s])
+        left = share * sum(sizes.values()) - sum(held.values())
+        if len(held) == len(order):
+            return held
+
+
+def words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def test_targets_match_water_filling(docs, rows):
+    sizes = defaultdict(int)
+    for _, text, _, source, _ in rows:
+        sizes[source] += words(text)
+    wanted = brute_targets(sizes)
+    planned = mixing.plan_copies(docs).collect()
+    assert len(planned) == len(rows)
+    for r in planned:
+        assert r.target == pytest.approx(wanted[r.source]) and r.source_size == sizes[r.source] and r.size == words(r.text)
+        rate = r.target / r.source_size if r.source_size else 0
+        assert r.copies in (int(rate), int(rate) + 1) and r.copies <= 2
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 1, "c": 1}, {"a": 1, "b": 1000, "c": 0, None: 7}, {"x": 0}, {"x": 5}, {"a": 3, "b": 3, "c": 3, "d": 3, "e": 900}])
+def test_targets_of_odd_sizes(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    found = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    for s, t in brute_targets(sizes).items():
+        assert (found[s] or 0.0) == pytest.approx(t)
+        assert (found[s] or 0.0) <= 2 * sizes[s] + 1e-9
+
+
+def test_taken_words_come_near_the_target(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"))
+    for r in mixing.plan_copies(df).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect():
+        assert r.taken == pytest.approx(r.target, rel=0.08)
+
+
+def test_mix_emits_each_document_as_planned(odd):
+    planned = mixing.plan_copies(odd)
+    assert planned.count() == odd.count()
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns
+    assert mixed.count() == planned.agg(F.sum("copies")).first()[0]
+    again = mixing.mix(odd)
+    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, again.collect()))
+    assert sorted(map(repr, mixed.distinct().collect())) == sorted({repr(r) for r in odd.collect()} & {repr(r) for r in mixed.collect()})
+
+
+def test_empty(nothing):
+    assert mixing.plan_copies(nothing).count() == 0 and mixing.mix(nothing).count() == 0
