@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ _BAD = set("nav navbar navigation menu menubar footer sidebar ad ads adv advert
 _MAYBE_BAD = {"header", "side", "aside", "bottom", "top", "tags", "meta", "form", "search"}
 _GOOD = set("article content post entry story main text body".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
+#: A class that begins so speaks of what is elsewhere: has-sidebar, no-ads.
+_ELSEWHERE = set("has with no not without".split())
 _ABOUT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -46,6 +49,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = []  # tag, node, dropped
+        is_open: Counter[str] = Counter()
         parts: list[str] = []
         linked, links, dropped, inside, at, holder = 0, 0, 0, 0, 0, 0
         nodes, blocks, end_of_source = self.nodes, self.blocks, len(source)
@@ -61,6 +65,7 @@ class Page:
         def pop() -> None:
             nonlocal links, dropped, inside, holder
             tag, node, drop = stack.pop()
+            is_open[tag] -= 1
             if tag in BLOCK:
                 flush()
             links -= tag == "a"
@@ -83,7 +88,7 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if any(t == tag for t, _, _ in stack):
+                if is_open[tag] > 0:
                     while stack[-1][0] != tag:
                         if tag not in BLOCK and stack[-1][0] in BLOCK:
                             break  # an inline end tag doesn't end a block
@@ -124,6 +129,7 @@ class Page:
                 nodes.append((holder, tag, step, good))
                 holder = node
             stack.append((tag, node, drop))
+            is_open[tag] += 1
             links += tag == "a"
             dropped += drop
             inside += tag in ("article", "main")
@@ -134,8 +140,9 @@ class Page:
         """Whether an element is dropped, its step in a path, and its bonus."""
         found = {k.lower(): (v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTR.findall(attributes)} if attributes.strip() else {}
         classes = found.get("class", "").split()
-        words = {w.lower() for x in (*classes, found.get("id", "")) for w in _ABOUT.findall(x)}
-        good = len(words & _GOOD) + 2 * (tag in ("article", "main"))
+        named = [[w.lower() for w in _ABOUT.findall(x)] for x in (*classes, found.get("id", ""))]
+        words = {w for x in named if x and x[0] not in _ELSEWHERE for w in x}
+        good = len(words & _GOOD) + 6 * (tag in ("article", "main"))
         drop = tag in DROPPED or (tag == "header" and not inside) or "hidden" in found or found.get("role", "") in _ROLES
         drop = drop or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden", "") == "true"
         if not drop and tag not in ("html", "body", "article", "main"):
@@ -155,9 +162,9 @@ class Page:
         score: dict[int, float] = {}
         for node, text, linked in self.blocks:
             value, share = max(0.0, len(text) - 2.0 * linked) + 5.0, 1.0
-            while node >= 0:
+            while node >= 0 and share > 1e-6:
                 score[node] = score.get(node, 0.0) + value * share
-                share *= 0.6
+                share *= 0.75
                 node = self.nodes[node][0]
         return {n: s * (1 + 0.25 * self.nodes[n][3]) for n, s in score.items()}
 
@@ -166,7 +173,13 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """Blocks of the containers on the path, or of the best container, joined by line feeds."""
-        wanted = {n for n in range(len(self.nodes)) if self.path(n) == path} if path is not None else set()
+        wanted: set[int] = set()
+        if path is not None:
+            depth = [0] * len(self.nodes)
+            for n in range(1, len(self.nodes)):
+                depth[n] = depth[self.nodes[n][0]] + 1
+            deep = path.count("/") + 1 if path else 0
+            wanted = {n for n in range(len(self.nodes)) if depth[n] == deep and self.path(n) == path}
         for chosen in (wanted, {n for n, _ in self.best(1)}):
             under = [n in chosen for n in range(len(self.nodes))]
             for n in range(1, len(self.nodes)):

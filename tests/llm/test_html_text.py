@@ -39,6 +39,29 @@ def test_the_hosts_vote_decides(spark):
     assert found[50][0] == "A brief article." and found[51][0].startswith("Something much longer")
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<main><h1>Head</h1><div class='text'><p>One long paragraph of the article stands here.</p></div></main><aside>no</aside>", "Head\nOne long paragraph of the article stands here."),
+        ("<div class='article-body'><div class='lead'><p>A lead of some words.</p></div><div class='rest'><p>And the rest, which is a good deal longer than the lead.</p></div></div><div class='sidebar'>x</div>", "A lead of some words.\nAnd the rest, which is a good deal longer than the lead."),
+        ("<div class='content has-sidebar'><p>The text beside a sidebar.</p></div><div id='sidebar-1'><p>Links</p></div>", "The text beside a sidebar."),
+        ("<article><header><h1>Head</h1></header><p>Body text.</p><footer>tags</footer><section class='comments'><article><p>I disagree with all of this at length.</p></article></section></article>", "Head\nBody text."),
+        ("<div role='banner'>top</div><td><p>In a cell</p></td><div style='display: none'>hidden</div><div class='newsletter-signup'>mail</div>", "In a cell"),
+        ("<article><p>a&nbsp;b&#x41;&copy;&unknown; \n c</p><pre>x\n  y</pre><blockquote>q</blockquote></article>", "a bA©&unknown; c\nx y\nq"),
+    ],
+)
+def test_templates(body, text):
+    page = html_text.Page(f"<html><head><title>t</title></head><body>{body}</body></html>")
+    assert page.text(None) == text and page.text(page.path(page.best(1)[0][0])) == text
+
+
+def test_deep_and_unbalanced_pages_take_linear_time():
+    n = 50_000
+    assert html_text.Page("<div>" * n + "<p>deep</p>" + "</div>" * n).text(None) == "deep"
+    assert html_text.Page("<b>" * n + "x" + "</i>" * n).text(None) == "x"
+    assert len(html_text.Page("<div>y" * n).text(None).split("\n")) > 0
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "http://h.example", "just text &lt;here&gt; &nbsp; now"), (4, "http://h2.example", "<p>"), (5, "http://h3.example", "<div><p>unclosed <b>all <i>the way"), (6, "http://h4.example", "</div></p>stray <p>ends</div> here"), (7, "http://h5.example", "<script>never ends <p>x</p>"), (8, "http://h6.example", "<p>a < b and c > d & e</p>"), (None, "http://h7.example", "<article><p>no key</p></article>"), (9, "", "<article>" + "<p>long paragraph text here</p>" * 20_000 + "</article>"), (10, "http://h8.example", "<div>" * 3000 + "deep" + "</div>" * 3000)]
     found = shown(html_text.extract(spark.createDataFrame(rows, SCHEMA)))
