@@ -3,11 +3,18 @@
 import os
 
 import duckdb
+import public_tokenizers
 import pytest
+import test_embedding_dedup
+import test_packing
+import test_suffix_dedup
+import test_token_files
 from test_line_dedup import brute as brute_lines
 from test_mixing import brute_targets, words
 from test_simhash import brute as brute_simhash
 
+from tokenizers import Tokenizer
+
 import __spark_entry__
 import corpus_pipeline
 from gridloom.llm import queries
@@ -65,6 +72,48 @@ def test_one_row_for_each_input_row(spark, duck, name):
     assert (df.where("piece = 0") if n == "op2" else df).count() == duck.execute(f"select count(*) from {table}").fetchone()[0]
 
 
+@pytest.fixture(scope="module")
+def texts(duck):
+    return duck.execute("select doc_id, text from documents").fetchall()
+
+
+def vocabulary(name):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return t
+
+
+def test_op2_packs_every_piece(spark, texts):
+    found = queries.op2_best_fit_packing(spark, DIR).collect()
+    assert test_packing.shown(found) == test_packing.wanted(texts, vocabulary("word_bpe_49k.json"), 2048)
+    assert test_packing.check(found, 2048) <= -(-sum(r.length for r in found) // 2048) + 1
+
+
+def test_op4_equals_brute_force(spark, texts):
+    assert sorted(map(tuple, queries.op4_simhash(spark, DIR).collect()), key=repr) == brute_simhash(texts)
+
+
+def test_op5_equals_whole_text_calls(spark, texts):
+    assert sorted(map(tuple, queries.op5_token_files(spark, DIR).collect())) == [x[:4] for x in test_token_files.wanted(texts, vocabulary("byte_bpe_50k.json"))]
+
+
+def test_op6_recall(spark, duck):
+    truth = test_embedding_dedup.brute(duck.execute("select vec_id, embedding, label from embeddings").fetchall())
+    found = test_embedding_dedup.shown(queries.op6_embedding_dedup(spark, DIR))
+    assert set(found) == set(truth) and all(found[k][0] <= truth[k][0] for k in truth)
+    assert sum(x[0] for x in found.values()) >= 0.9 * sum(x[0] for x in truth.values())
+
+
+def test_op7_equals_brute_force(spark, texts):
+    assert test_suffix_dedup.shown(queries.op7_suffix_dedup(spark, DIR)) == test_suffix_dedup.brute(texts)
+
+
+def test_op9_held_out_accuracy(spark, duck):
+    truth = dict(duck.execute("select doc_id, lang from documents where lang is not null").fetchall())
+    held = [r for r in queries.op9_language_id(spark, DIR).collect() if r.held_out and r.lang_pred != "und" and r.doc_id in truth]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held) > 0
+
+
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "mix_sources", "pack"]
