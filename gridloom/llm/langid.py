@@ -18,6 +18,8 @@ UNKNOWN = "und"
 ORDERS, SLOT_BITS = (1, 2, 3), 18
 #: Labelled texts per language that the classifier is fitted on, and those of them that are landmarks.
 TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, RIDGE, LANGUAGES = 400, 64, 1e-2, 1000
+#: Texts scored by one matrix product.
+BLOCK = 128
 _letters = None
 
 
@@ -105,14 +107,14 @@ def fit(by_language: dict[str, list], landmarks: int = LANDMARKS_PER_LANGUAGE, r
     return languages, feature, (m.T.astype(np.float64) @ (root @ beta[:-1])).astype(np.float32), beta[-1].astype(np.float32)
 
 
-def predict(texts: list, model, block: int = 256):
+def predict(texts: list, model):
     """Languages and scores of texts."""
     import numpy as np
 
     languages, feature, weights, bias = model
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    for lo in range(0, len(texts), block):
-        part = [(i, t) for i, t in enumerate(texts[lo : lo + block], lo) if t and any(map(str.isalpha, t))]
+    for lo in range(0, len(texts), BLOCK):
+        part = [(i, t) for i, t in enumerate(texts[lo : lo + BLOCK], lo) if t and any(map(str.isalpha, t))]
         if not part:
             continue
         x, norm = np.zeros((len(part), len(weights)), np.float32), np.empty(len(part), np.float32)
@@ -151,8 +153,9 @@ def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", label: st
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            langs, scores = predict(texts, model) if model else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+            langs, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
+            for lo in range(0, len(batch) if model else 0, BLOCK):  # few texts at a time are Python strings
+                langs[lo : lo + BLOCK], scores[lo : lo + BLOCK] = predict(batch.column(at).slice(lo, BLOCK).to_pylist(), model)
             yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields) + ", lang_pred string, score double"
