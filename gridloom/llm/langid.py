@@ -18,6 +18,8 @@ UNKNOWN = "und"
 ORDERS, SLOT_BITS = (1, 2, 3), 18
 #: Labelled texts per language that the classifier is fitted on, and those of them that are landmarks.
 TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, RIDGE, LANGUAGES = 400, 64, 1e-2, 1000
+#: Labelled texts of all languages together: with more than 50 languages each gets fewer.
+TRAIN_ROWS = 20_000
 #: Texts scored by one matrix product.
 BLOCK = 128
 _letters = None
@@ -46,7 +48,7 @@ def slots(text: str):
 
 
 def _training(docs: DataFrame, text: str, key: str, label: str, held_out, rows: int) -> dict[str, list]:
-    """At most rows slot sets per language, of the labelled documents first in a seeded order of keys."""
+    """At most rows slot sets per language and TRAIN_ROWS in all, of the labelled documents first in a seeded order of keys."""
     import pyarrow as pa
 
     usable = docs.where(~held_out & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("lang"), F.col(key).cast("string").alias("k"), F.col(text).alias("text"))
@@ -55,6 +57,7 @@ def _training(docs: DataFrame, text: str, key: str, label: str, held_out, rows:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return {}
+    rows = max(1, min(rows, TRAIN_ROWS // len(counts)))
     draw = F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1 << 30))
     limit = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, (1.2 * rows + 40) / n) * (1 << 30))))]), F.col("lang"))
 
@@ -137,7 +140,7 @@ def identify(docs: DataFrame, text: str = "text", key: str = "doc_id", label: st
     """docs with held_out, lang_pred and score added (columns of those names are replaced).
 
     Fitted on labelled documents whose crc32 of the key as text is not 2 modulo
-    4, at most train_per_language of each language; only the text is an input
+    4, at most train_per_language of each language and TRAIN_ROWS in all; only the text is an input
     of a prediction.  Null texts and texts without a letter are "und" with score
     0, as is every text if nothing is labelled.  Rows with a null key are
     neither held out nor learned from.  An empty table gives an empty result.
