@@ -18,8 +18,8 @@ UNKNOWN = "und"
 ORDERS, SLOT_BITS = (1, 2, 3), 18
 #: Labelled texts per language that the classifier is fitted on, and those of them that are landmarks.
 TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, RIDGE, LANGUAGES = 400, 64, 1e-2, 1000
-#: Labelled texts of all languages together: with more than 50 languages each gets fewer.
-TRAIN_ROWS = 20_000
+#: Labelled texts and landmarks of all languages together: with more than 15 languages each gets fewer.
+TRAIN_ROWS, LANDMARKS = 20_000, 1_000
 #: Texts scored by one matrix product.
 BLOCK = 128
 _letters = None
@@ -80,6 +80,7 @@ def fit(by_language: dict[str, list], landmarks: int = LANDMARKS_PER_LANGUAGE, r
     import numpy as np
 
     languages = sorted(by_language)
+    landmarks = max(1, min(landmarks, LANDMARKS // len(languages)))
     sets = [np.frombuffer(s, np.int32) for lang in languages for s in by_language[lang]]
     truth = [i for i, lang in enumerate(languages) for _ in by_language[lang]]
     marks = [np.frombuffer(s, np.int32) for lang in languages for s in by_language[lang][:landmarks]]

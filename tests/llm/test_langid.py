@@ -84,3 +84,14 @@ def test_nothing_to_learn_from(docs, nothing):
     out = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {(r.lang_pred, r.score) for r in out.collect()} == {("und", 0.0)}
     assert langid.identify(nothing).count() == 0 and langid.keep_identified(nothing).count() == 0
+
+
+def test_many_languages_share_the_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 30)
+    monkeypatch.setattr(langid, "LANDMARKS", 6)
+    rows = [(k, r[1], r[5]) for k, r in enumerate(corpus(400, 8))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    by = langid._training(df, "text", "doc_id", "lang", F.lit(False), 400)
+    assert {len(x) for x in by.values()} == {10}
+    truth = dict((k, lang) for k, _, lang in rows)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in langid.identify(df).collect()) > 380
