@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from .common import stage
 
 ANCHOR = 16
-#: Text bytes for each anchor group, shared anchors for each passage group, bytes hashed at a time, contexts of a suffix array batch.
-GROUP_BYTES, GROUP_ANCHORS, PIECE_BYTES, BATCH = 24_000_000, 120_000, 1 << 19, 20_000
+#: Text bytes for each anchor group, shared anchors for each passage group, bytes of each text group,
+#: bytes hashed at a time, contexts of a suffix array batch.
+GROUP_BYTES, GROUP_ANCHORS, TEXT_BYTES, PIECE_BYTES, BATCH = 16_000_000, 80_000, 2_000_000, 1 << 19, 20_000
 _DEALT = "bucket int, kind int, base bigint, a binary, b binary"
-_FOUND = "doc bigint, a binary"
+_FOUND = "dest bigint, docs binary, a binary"
 _PASSAGES = "bucket int, kind int, h binary, doc binary, row binary, start binary, size binary, body binary"
-_CUTS = "doc bigint, row bigint, start binary, stop binary"
+_CUTS = "dest bigint, docs binary, rows binary, start binary, stop binary"
 
 
 def pieces(texts, length: int):
@@ -135,13 +137,58 @@ def _bytes(column) -> list[bytes]:
 
 
 def _release(spark) -> None:
-    """Let Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished steps: handles go in the first round, what they held in the second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
-def _anchor_groups(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(doc, a): low halves of the hashes of anchors that a document shares with others."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows with text as compressed UTF-8, for a shuffle."""
+    import pyarrow as pa
+    import zstandard
+
+    at = rows.columns.index("text")
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([squeeze(t) for t in _bytes(batch.column(at))], pa.binary())
+            yield pa.record_batch(columns, batch.schema.names)
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'text' else t}" for n, t in rows.dtypes))
+
+
+def _spread(doc, shift, xor):
+    """Number from which a document's text group follows; doc is a column or an array."""
+    return xor(xor(shift(doc, 7), shift(doc, 16)), doc)
+
+
+def _by_group(dests: int, doc, **columns):
+    """Rows (dest, packed columns) of arrays of equal length, one for each text group."""
+    import numpy as np
+    import pandas as pd
+
+    dest = _spread(doc, np.right_shift, np.bitwise_xor) % dests
+    order = np.argsort(dest, kind="stable")
+    dest = dest[order]
+    edge = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]])[: len(dest)]
+    stop = np.r_[edge[1:], len(dest)][: len(edge)]
+    return pd.DataFrame({"dest": dest[edge], **{name: [x[order[lo:hi]].tobytes() for lo, hi in zip(edge, stop, strict=True)] for name, x in columns.items()}})
+
+
+def _dealt(rows: DataFrame, packed: DataFrame, dests: int) -> DataFrame:
+    """Texts by group, compressed, each group after the rows of packed (dest, binary columns) that are for it."""
+    dest = F.pmod(_spread(F.col("doc"), F.shiftright, lambda a, b: a.bitwiseXOR(b)), F.lit(dests).cast("bigint"))
+    texts = _packed(rows.select(dest.alias("dest"), F.col("key").isNotNull().alias("keyed"), "doc", "row", "text"))
+    texts = texts.select("*", *[F.lit(None).cast("binary").alias(c) for c in packed.columns[1:]])
+    return texts.unionByName(packed, allowMissingColumns=True).repartition("dest").sortWithinPartitions("dest", F.col("text").isNotNull())
+
+
+def _anchor_groups(docs: DataFrame, length: int, buckets: int, dests: int) -> DataFrame:
+    """(dest, docs, a): documents and low halves of the hashes of anchors that they share with others, packed by text group."""
     import numpy as np
     import pyarrow as pa
 
@@ -176,15 +223,15 @@ def _anchor_groups(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 to = bucket[chosen] if kind < 2 else d[chosen] % buckets
                 order = np.argsort(to, kind="stable")
                 chosen, to = chosen[order], to[order]
-                edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
+                if not len(to):
+                    continue
+                edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
                 for lo, hi in zip(edge, [*edge[1:], len(to)], strict=True):
                     for column, value in zip(rows, (int(to[lo]), kind, base, low[chosen[lo:hi]].tobytes(), gap[chosen[lo:hi]].tobytes()), strict=True):
                         column.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "base", "a", "b"])
 
     def settle(pdf):
-        import pandas as pd
-
         low = [np.frombuffer(a, np.uint32) for a in pdf["a"]]
         doc = [np.frombuffer(b, np.uint32 if len(a) == len(b) else np.int64).astype(np.int64) + base for a, b, base in zip(pdf["a"], pdf["b"], pdf["base"], strict=True)]
         kind = np.repeat(pdf["kind"].to_numpy(), [len(x) for x in low])
@@ -199,31 +246,46 @@ def _anchor_groups(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             out_low.append(low[shared & (kind == 0)])
             out_doc.append(doc[shared & (kind == 0)])
         low, doc = np.concatenate(out_low), np.concatenate(out_doc)
-        order = np.argsort(doc, kind="stable")
-        low, doc = low[order], doc[order]
-        edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
-        return pd.DataFrame({"doc": doc[edge], "a": [low[lo:hi].tobytes() for lo, hi in zip(edge, [*edge[1:], len(doc)], strict=True)]})
+        return _by_group(dests, doc, docs=doc, a=low)
 
-    return docs.select("doc", "text").mapInArrow(deal, _DEALT).groupBy("bucket").applyInPandas(settle, _FOUND)
+    return docs.select("doc", "text").mapInArrow(deal, _DEALT).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(settle, _FOUND)
 
 
-def _passage_groups(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(doc, row, start, stop): spans of bytes to drop, packed; a document may have several rows."""
+def _passage_groups(docs: DataFrame, found: DataFrame, length: int, buckets: int, dests: int) -> DataFrame:
+    """(dest, docs, rows, start, stop): spans of bytes to drop, packed by text group."""
     import numpy as np
     import pyarrow as pa
+    import zstandard
 
     def emit(rows_by_bucket, kind):
         out = ([], [], [], [], [], [], [], [])
         for bucket, (h, doc, row, start, size, body) in rows_by_bucket.items():
             values = (bucket, kind, np.array(h, np.uint64), np.array(doc, np.int64), np.array(row, np.int64), np.array(start, np.int64), np.array(size, np.int32))
-            for column, value in zip(out, (*values[:2], *[v.tobytes() for v in values[2:]], b"".join(body)), strict=True):
+            for column, value in zip(out, (*values[:2], *[v.tobytes() for v in values[2:]], zstandard.ZstdCompressor(level=1).compress(b"".join(body))), strict=True):
                 column.append(value)
         return pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), *[pa.binary()] * 6), strict=True)], ["bucket", "kind", "h", "doc", "row", "start", "size", "body"])
 
     def deal(batches):
+        at, pairs, table = None, [], None
+        grow = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            known = [np.unique(_joined(a.as_py(), np.uint32)) for a in batch.column(3)]
+            ids, rows, texts, known = [], [], [], []
+            for dest, doc, row, text, docs_, a in zip(*(batch.column(n).to_pylist() for n in ("dest", "doc", "row", "text", "docs", "a")), strict=True):
+                if dest != at:
+                    at, pairs, table = dest, [], None
+                if text is None:
+                    pairs.append((docs_, a))
+                    continue
+                if table is None:
+                    owner, low = (_joined(x, t) for x, t in zip(zip(*pairs, strict=True) if pairs else ((), ()), (np.int64, np.uint32), strict=True))
+                    order = np.argsort(owner, kind="stable")
+                    table, pairs = (owner[order], low[order]), []
+                lo, hi = (np.searchsorted(table[0], doc, side) for side in ("left", "right"))
+                if lo < hi:
+                    for column, value in zip((ids, rows, texts, known), (doc, row, grow(text), np.unique(table[1][lo:hi])), strict=True):
+                        column.append(value)
+            if not ids:
+                continue
             held: dict[bytes, tuple] = {}  # surroundings -> hash, least document, its places
             gone: dict[int, tuple] = {}
 
@@ -232,7 +294,7 @@ def _passage_groups(docs: DataFrame, shared: DataFrame, length: int, buckets: in
                 for column, value in zip(at, (0, doc, row, start, size), strict=False):
                     column.append(value)
 
-            for data, spans in pieces(_bytes(batch.column(2)), length):
+            for data, spans in pieces(texts, length):
                 owner, first, last, h = anchored(data, spans, length)
                 text_of = np.array([s[0] for s in spans])
                 mine = np.concatenate([(np.uint64(i) << np.uint64(32)) | known[i].astype(np.uint64) for i in np.unique(text_of).tolist()])
@@ -262,12 +324,10 @@ def _passage_groups(docs: DataFrame, shared: DataFrame, length: int, buckets: in
             yield emit(gone, 1)
 
     def settle(pdf):
-        import pandas as pd
-
         cuts: dict[tuple, list] = {}
         held: dict[bytes, list] = {}  # surroundings -> [hash, least document, its places]
         for kind, h, doc, row, start, size, body in zip(*(pdf[c] for c in ("kind", "h", "doc", "row", "start", "size", "body")), strict=True):
-            at = 0
+            at, body = 0, zstandard.ZstdDecompressor().decompress(body)
             for x, d, r, s, n in zip(*(np.frombuffer(v, t).tolist() for v, t in ((h, np.uint64), (doc, np.int64), (row, np.int64), (start, np.int64), (size, np.int32))), strict=True):
                 if kind == 1:
                     cuts.setdefault((d, r), []).append((s, s + n))
@@ -308,12 +368,12 @@ def _passage_groups(docs: DataFrame, shared: DataFrame, length: int, buckets: in
                 d, _, places = part[k]
                 for r, s in places:
                     cuts.setdefault((d, r), []).append((s + first, s + last + length))
-        keys = list(cuts)
-        packed = [np.array(merge(cuts[k]), np.int64) for k in keys]
-        return pd.DataFrame({"doc": [k[0] for k in keys], "row": [k[1] for k in keys], "start": [p[:, 0].tobytes() for p in packed], "stop": [p[:, 1].tobytes() for p in packed]})
+        spans = [(d, r, lo, hi) for (d, r), found in cuts.items() for lo, hi in merge(found)]
+        del cuts
+        packed = np.array(spans, np.int64).reshape(-1, 4).T
+        return _by_group(dests, packed[0], docs=packed[0], rows=packed[1], start=packed[2], stop=packed[3])
 
-    joined = docs.join(shared, "doc").select("doc", "row", "text", "known")
-    return joined.mapInArrow(deal, _PASSAGES).groupBy("bucket").applyInPandas(settle, _CUTS)
+    return _dealt(docs, found, dests).mapInArrow(deal, _PASSAGES).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(settle, _CUTS)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -338,35 +398,45 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
     """
     import numpy as np
     import pyarrow as pa
+    import zstandard
 
     if length < ANCHOR + 4:
         raise ValueError(f"length must be {ANCHOR + 4} at least")
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    found = stage(_anchor_groups(rows, length, max(1, -(-total // GROUP_BYTES))), "op7-anchors")
+    repeated = rows.groupBy("doc").count().where("count > 1").take(1)
+    rows = rows.withColumn("row", F.xxhash64("text") if repeated else F.lit(0).cast("bigint"))
+    dests = total // TEXT_BYTES + 1
+    found = stage(_anchor_groups(rows, length, max(1, -(-total // GROUP_BYTES)), dests), "op7-anchors")
     _release(spark)
-    shared = found.groupBy("doc").agg(F.collect_list("a").alias("known"))
     anchors = found.agg(F.sum(F.octet_length("a"))).first()[0] or 0
-    cuts = stage(_passage_groups(rows, shared, length, max(1, -(-anchors // 4 // GROUP_ANCHORS))), "op7-cuts")
+    cuts = stage(_passage_groups(rows, found, length, max(1, -(-anchors // 4 // GROUP_ANCHORS)), dests), "op7-cuts")
     _release(spark)
-    cuts = cuts.groupBy("doc", "row").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
 
     def cut(batches):
+        at, spans = None, {}
+        grow = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = ([], [], [], [], [])
-            for t, start, stop in zip(_bytes(batch.column(1)), batch.column(2), batch.column(3), strict=True):
-                runs = merge(list(zip(_joined(start.as_py(), np.int64).tolist(), _joined(stop.as_py(), np.int64).tolist(), strict=True))) if start.is_valid else []
-                kept, at = [], 0
+            out = ([], [], [], [], [], [], [])
+            # of each text group the spans come first, then the documents
+            for dest, keyed, doc, row, text, docs_, rows_, start, stop in zip(*(batch.column(n).to_pylist() for n in ("dest", "keyed", "doc", "row", "text", "docs", "rows", "start", "stop")), strict=True):
+                if dest != at:
+                    at, spans = dest, {}
+                if text is None:
+                    for d, r, lo, hi in zip(*(np.frombuffer(x, np.int64).tolist() for x in (docs_, rows_, start, stop)), strict=True):
+                        spans.setdefault((d, r), []).append((lo, hi))
+                    continue
+                t, kept, end = grow(text), [], 0
+                runs = merge(spans.get((doc, row), []))
                 for lo, hi in runs:
-                    kept.append(t[at:lo])
-                    at = hi
-                body = b"".join([*kept, t[at:]])
-                for column, value in zip(out, (len(t), len(t) - len(body), len(runs), hashlib.sha256(body).hexdigest(), body), strict=True):
+                    kept.append(t[end:lo])
+                    end = hi
+                body = b"".join([*kept, t[end:]])
+                for column, value in zip(out, (doc, keyed, len(t), len(t) - len(body), len(runs), hashlib.sha256(body).hexdigest(), body), strict=True):
                     column.append(value)
-            yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc", "keyed", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = rows.join(cuts, ["doc", "row"], "left").select("key", "text", "start", "stop")
-    out = joined.mapInArrow(cut, f"key {docs.schema[key].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return out.withColumnRenamed("key", key)
+    out = _dealt(rows, cuts, dests).mapInArrow(cut, "doc bigint, keyed boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return out.select(F.when(F.col("keyed"), F.col("doc").cast(docs.schema[key].dataType)).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
