@@ -136,12 +136,14 @@ def _bytes(column) -> list[bytes]:
     return [(t.as_py() or "").encode() for t in column]
 
 
-def _release(spark) -> None:
-    """Let Spark drop the shuffle files of finished steps: handles go in the first round, what they held in the second."""
-    for _ in range(2):
+def _release(staged: DataFrame) -> None:
+    """Let Spark drop the shuffle files that a staged table was made from: a small job lets go of the last large
+    one, handles go in the first round, what they held in the next."""
+    staged.take(1)
+    for _ in range(3):
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        staged.sparkSession._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -402,17 +404,16 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
 
     if length < ANCHOR + 4:
         raise ValueError(f"length must be {ANCHOR + 4} at least")
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     repeated = rows.groupBy("doc").count().where("count > 1").take(1)
     rows = rows.withColumn("row", F.xxhash64("text") if repeated else F.lit(0).cast("bigint"))
     dests = total // TEXT_BYTES + 1
     found = stage(_anchor_groups(rows, length, max(1, -(-total // GROUP_BYTES)), dests), "op7-anchors")
-    _release(spark)
+    _release(found)
     anchors = found.agg(F.sum(F.octet_length("a"))).first()[0] or 0
     cuts = stage(_passage_groups(rows, found, length, max(1, -(-anchors // 4 // GROUP_ANCHORS)), dests), "op7-cuts")
-    _release(spark)
+    _release(cuts)
 
     def cut(batches):
         at, spans = None, {}
