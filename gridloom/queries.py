@@ -202,6 +202,7 @@ array_query("dot_vector_matrix", "SELECT j AS i0, round(sum(em.v * (SELECT b.v F
 array_query("inner", "SELECT a.i AS i0, b.i AS i1, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.j = b.j WHERE b.i < 50 GROUP BY 1, 2", 6)(lambda s, d: (lambda a: linalg.inner(a, views.slice_(a, S.until(50), S.everything())))(M(s, d)))
 array_query("inner_whole", "SELECT a.j::BIGINT AS i0, b.j::BIGINT AS i1, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2", 6)(lambda s, d: (lambda a: linalg.inner(a, a))(views.transpose(M(s, d))))
 array_query("outer", "SELECT a.i AS i0, b.i AS i1, round(a.v * b.v, 4) AS v FROM (SELECT * FROM c WHERE i < 200) a, (SELECT * FROM e WHERE i < 100) b")(lambda s, d: linalg.outer(views.slice_(C(s, d), S.until(200)), views.slice_(E(s, d), S.until(100))))
+array_query("outer_whole", "SELECT a.i AS i0, b.j::BIGINT AS i1, round(a.v * b.v, 4) AS v FROM (SELECT i, max(v) AS v FROM m GROUP BY 1) a, (SELECT j, max(v) AS v FROM m GROUP BY 1) b")(lambda s, d: (lambda a: linalg.outer(reductions.max_axis(a, 1), reductions.max_axis(a, 0)))(M(s, d)))
 
 
 def big_vector(spark, n: int = 1 << 22):

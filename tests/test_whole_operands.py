@@ -26,3 +26,8 @@ def dense(df):
 def test_inner_takes_all_rows(spark):
     m = column("embeddings", "vec_id", "embedding")
     assert np.allclose(dense(engine.QUERIES["inner_whole"](spark, DIR)), m.T @ m, rtol=0, atol=1e-6)
+
+
+def test_outer_takes_all_rows(spark):
+    m = column("embeddings", "vec_id", "embedding")
+    assert np.allclose(dense(engine.QUERIES["outer_whole"](spark, DIR)), np.outer(m.max(1), m.max(0)), rtol=0, atol=1e-4)
