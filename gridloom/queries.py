@@ -151,6 +151,7 @@ array_query("nan_comparison", "SELECT i AS i0, CASE WHEN v < 0 THEN 1.0::DOUBLE
 array_query("broadcast_row", "SELECT i AS i0, j AS i1, round(v + (SELECT b.v FROM e b WHERE b.i = em.j), 4) AS v FROM em")(lambda s, d: elementwise.add(EM(s, d), views.slice_(E(s, d), S.until(COLUMNS))))
 array_query("broadcast_column", "SELECT i AS i0, j AS i1, round(v * (SELECT b.v FROM em b WHERE b.i = em.i AND b.j = 0), 4) AS v FROM em")(lambda s, d: (lambda a: elementwise.mul(a, views.slice_(a, S.everything(), S.until(1))))(EM(s, d)))
 array_query("broadcast_both", "SELECT a.i AS i0, b.i AS i1, round(a.v + b.v, 4) AS v FROM (SELECT * FROM c WHERE i < 40) a, (SELECT * FROM e WHERE i < 30) b")(lambda s, d: elementwise.add(views.expand_dims(views.slice_(C(s, d), S.until(40)), 1), views.expand_dims(views.slice_(E(s, d), S.until(30)), 0)))
+array_query("broadcast_both_whole", "SELECT a.i AS i0, b.j::BIGINT AS i1, round(a.v + b.v, 4) AS v FROM (SELECT i, max(v) AS v FROM m GROUP BY 1) a, (SELECT j, max(v) AS v FROM m GROUP BY 1) b")(lambda s, d: (lambda a: elementwise.add(reductions.max_axis(a, 1, True), reductions.max_axis(a, 0, True)))(M(s, d)))
 array_query("where", f"SELECT i AS i0, round(CASE WHEN x > 0 THEN y ELSE x END, 4) AS v FROM {_PAIR}")(lambda s, d: (lambda a, b: elementwise.where(elementwise.greater(a, 0.0), b, a))(*_pair(s, d)))
 
 # selection
