@@ -52,7 +52,7 @@ def test_the_hosts_vote_decides(spark):
 )
 def test_templates(body, text):
     page = html_text.Page(f"<html><head><title>t</title></head><body>{body}</body></html>")
-    assert page.text(None) == text and page.text(page.path(page.best(1)[0][0])) == text
+    assert page.text(None) == text and page.text(page.paths[page.best(1)[0][0]]) == text
 
 
 def test_deep_and_unbalanced_pages_take_linear_time():
@@ -62,6 +62,115 @@ def test_deep_and_unbalanced_pages_take_linear_time():
     assert len(html_text.Page("<div>y" * n).text(None).split("\n")) > 0
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        *[(f"<nav>menu</nav><div class='{c}'><p>The sole article of this page.</p></div><footer>f</footer>", "The sole article of this page.") for c in ("story social-science", "story alert-free", "post related-work", "chapter comment-on-law")],
+        ("<div class='content-sidebar-wrap'><article><h1>Head</h1><p>All of the article.</p></article></div>", "Head\nAll of the article."),
+        ("<form id='aspnetForm'><div class='sidebar'><p>Links here</p></div><article><p>All of the article.</p></article></form>", "All of the article."),
+        ("<article><p>Short.</p></article><div id='comments'>" + "<p>Readers write far more than the author did.</p>" * 9 + "</div>", "Short."),
+        ("<article></article><div class='ad'>Buy this now, it is cheap and good.</div>", ""),
+        ("<article><p>The rule <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>", "The rule x=2 holds."),
+    ],
+)
+def test_class_words_alone_drop_no_article(body, text):
+    assert html_text.Page(f"<html><body>{body}</body></html>").text(None) == text
+
+
+def test_hosts_settle_what_class_words_leave_open(spark):
+    # on one host the suspected element is the article on most pages, on the other it is a box beside it
+    page = "<html><body><div class='a'><p>{}</p></div><div class='related-box'><p>{}</p></div></body></html>"
+    long, short = "A long run of sentences that goes on and on. " * 30, "One short line."
+    rows = [(k, "http://x.example/", page.format("", long)) for k in range(6)] + [(6, "http://x.example/", page.format("Tiny", short))]
+    rows += [(k + 10, "http://y.example/", page.format(long, short)) for k in range(6)] + [(16, "http://y.example/", page.format("Tiny", long))]
+    found = shown(html_text.extract(spark.createDataFrame(rows, SCHEMA)))
+    assert found[0][0] == long.strip() and found[6][0] == short and found[10][0] == long.strip() and found[16][0] == "Tiny"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<ul>", "<svg>", "<a \"", "<p", "<td>", "<li><ul>", "<!--", "<x '>", "<a \"<b '>", "<div class='ad'>", "<p><b>", "<! ", "<script", "</p>", "<dl><dt>", "<a href='x\">y</a>"])
+def test_a_million_characters_of_anything_are_read_in_seconds(part):
+    import time
+
+    began = time.process_time()
+    html_text.Page("<p>start</p>" + part * (1_000_000 // len(part))).text(None)
+    assert time.process_time() - began < 30
+
+
+def slow_scores(page):
+    """Scores of containers by walking up from every block, one container at a time."""
+    out = {}
+    for n, (_, _, _, good, _) in enumerate(page.nodes):
+        total, found = 0.0, False
+        for node, text, linked in page.blocks:
+            at, steps = node, 0
+            while at != n and at >= 0 and not page.nodes[at][4]:
+                at, steps = page.nodes[at][0], steps + 1
+            if at == n and 0.75**steps > 1e-6:
+                total, found = total + (max(0.0, len(text) - 2.0 * linked) + 5.0) * 0.75**steps, True
+        if found:
+            doubts, at = 0, n
+            while at >= 0:
+                doubts, at = doubts + page.nodes[at][4], page.nodes[at][0]
+            out[n] = (total * (1 + 0.25 * good) * 0.2**doubts, doubts)
+    if any(t in ("article", "main") and not _doubts(page, n) for n, (_, t, *_) in enumerate(page.nodes)):
+        out = {n: x for n, x in out.items() if not x[1]}
+    return {n: s for n, (s, _) in out.items()}
+
+
+def _doubts(page, n):
+    return 0 if n < 0 else page.nodes[n][4] + _doubts(page, page.nodes[n][0])
+
+
+def _steps(page, n):
+    return () if n <= 0 else (*_steps(page, page.nodes[n][0]), page.nodes[n][2])
+
+
+def slow_extract(rows):
+    """Voting and extraction over dictionaries; paths are tuples of steps."""
+    pages = {k: (url, html_text.Page(source)) for k, url, source in rows}
+    votes = {}
+    for url, page in pages.values():
+        host = url.split("/")[2]
+        ranked = sorted(slow_scores(page).items(), key=lambda x: (-x[1], x[0]))[:3]
+        for place, (n, s) in enumerate(ranked):
+            by = votes.setdefault(host, {})
+            by[_steps(page, n)] = by.get(_steps(page, n), 0) + round(1000 * s / sum(x for _, x in ranked)) + 1000 * (place == 0)
+    out = {}
+    for k, (url, page) in pages.items():
+        by = votes.get(url.split("/")[2], {})
+        path = max(by, key=by.get) if by else None
+        chosen = [n for n in range(len(page.nodes)) if _steps(page, n) == path] or [n for n, _ in sorted(slow_scores(page).items(), key=lambda x: (-x[1], x[0]))[:1]]
+        lines = []
+        for node, text, _ in page.blocks:
+            at = node
+            while at >= 0 and at not in chosen and not page.nodes[at][4]:
+                at = page.nodes[at][0]
+            if at in chosen:
+                lines.append(text)
+        out[k] = ("\n".join(lines), len("\n".join(lines)))
+    return out
+
+
+def test_scores_and_votes_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    names = ["", " class='story'", " class='ad box'", " id='comments'", " class='main-col'", " class='related'", " class='p7'"]
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p>{'word ' * rng.randint(0, 40)}<a href='x'>{'link ' * rng.randint(0, 3)}</a></p>"
+        tag = rng.choice(["div", "section", "div", "article", "ul", "form", "td"])
+        return f"<{tag}{rng.choice(names)}>" + "".join(part(depth - 1) for _ in range(rng.randint(1, 3))) + f"</{tag}>"
+
+    templates = [[part(3) for _ in range(2)] for _ in range(6)]
+    rows = []
+    for k in range(90):
+        host = k % 5
+        rows.append((k, f"http://h{host}.example/{k}", "<html><body>" + "".join(rng.sample(templates[host], 2)) + part(2) + "</body></html>"))
+    assert shown(html_text.extract(spark.createDataFrame(rows, SCHEMA).repartition(3))) == slow_extract(rows)
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "http://h.example", "just text &lt;here&gt; &nbsp; now"), (4, "http://h2.example", "<p>"), (5, "http://h3.example", "<div><p>unclosed <b>all <i>the way"), (6, "http://h4.example", "</div></p>stray <p>ends</div> here"), (7, "http://h5.example", "<script>never ends <p>x</p>"), (8, "http://h6.example", "<p>a < b and c > d & e</p>"), (None, "http://h7.example", "<article><p>no key</p></article>"), (9, "", "<article>" + "<p>long paragraph text here</p>" * 20_000 + "</article>"), (10, "http://h8.example", "<div>" * 3000 + "deep" + "</div>" * 3000)]
     found = shown(html_text.extract(spark.createDataFrame(rows, SCHEMA)))
@@ -78,7 +187,7 @@ def test_repeated_rows_and_clashing_names(pages):
 
 
 def test_many_hosts_take_the_join(pages, monkeypatch):
-    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(html_text, "HOT_KEYS", 2)  # the larger hosts are looked up by broadcast all the same
     assert shown(html_text.extract(pages)) == {k: (TEXT.format(n=k), len(TEXT.format(n=k))) for k in range(30)}
 
