@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import suffix_dedup
-from gridloom.llm.suffix_dedup import SuffixFamily
+from gridloom.llm.suffix_dedup import SuffixFamily, SuffixIndex
 
 
 def brute(rows, length=50):
@@ -78,17 +78,74 @@ def test_one_passage_in_every_document(spark):
 
 
 def test_family_answers_as_a_dictionary_would():
+    """Arrays in any order of documents: what is not lost in the end is what the least document of each string holds."""
     rng = np.random.default_rng(6)
-    family, seen = SuffixFamily(), {}
-    for batch in range(12):
-        strings = rng.integers(0, 200, 150).astype("S20")
-        docs = np.sort(rng.integers(batch * 10, batch * 10 + 10, 150))
-        for s, d in zip(strings.tolist(), docs.tolist(), strict=True):
+    family, seen, lost, n, entries = SuffixFamily(20), {}, set(), 0, []
+    for _ in range(12):
+        strings, docs = rng.integers(0, 400, 150).astype("S20"), rng.integers(0, 60, 150)
+        tags = n + np.arange(150)
+        n += 150
+        for s, d, t in zip(strings.tolist(), docs.tolist(), tags.tolist(), strict=True):
             seen[s] = min(seen.get(s, d), d)
-        assert family.add(strings, docs).tolist() == [seen[s] for s in strings.tolist()]
-    assert len(family.levels) <= 9
-    sizes = [len(s).bit_length() for s, _ in family.levels]
-    assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+            entries.append((s, d, t))
+        gone = family.add(strings, docs, tags).tolist()
+        assert not lost & set(gone) and len(set(gone)) == len(gone)
+        lost |= set(gone)
+        assert lost == {t for s, d, t in entries if d > seen[s]}
+        for level, _, _ in family.levels:
+            assert (level[1:] >= level[:-1]).all()
+        assert all(d == seen[s] for level, first, _ in family.levels for s, d in zip(level.tolist(), first.tolist(), strict=True))
+        sizes = [len(level).bit_length() for level, _, _ in family.levels]
+        assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+    assert sorted(family.all()[2].tolist()) == sorted({t for _, _, t in entries} - lost)
+
+
+@pytest.mark.parametrize("length", [50, 24])
+def test_batches_against_levels(spark, docs, rows, length):
+    """Documents batch by batch: each batch is judged against all before it, whose levels are written tables."""
+    index, parts = SuffixIndex.empty(spark, length, buckets=3), 7
+    before, merged = [], False
+    for k in range(parts):
+        batch = [r for i, r in enumerate(rows) if i * parts // len(rows) == k]
+        index, found = index.insert(spark.createDataFrame([r[:2] for r in batch], "doc_id bigint, text string").repartition(2))
+        # earlier batches come first whatever their keys: brute force sees them under keys below all others
+        wanted = brute([(-10_000 + i, t) for i, t in enumerate(before)] + [r[:2] for r in batch], length)
+        assert shown(found) == [x for x in wanted if x[0] is None or x[0] > -5_000]
+        before += [r[1] for r in batch]
+        merged |= len(index.levels) <= k
+        sizes = [n.bit_length() for _, n in index.levels]
+        assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+    assert merged
+
+
+def test_one_phrase_in_all_documents_with_different_surroundings(spark, monkeypatch):
+    """An anchor with many documents is dealt string by string; so is a passage that a third of them share."""
+    monkeypatch.setattr(suffix_dedup, "HOT_DOCS", 40)
+    phrase, passage = "0123456789abcdef", "a passage that one third of all documents hold word for word, and more"
+    one = F.sha2(F.col("id").cast("string"), 256)
+    two = F.sha2((F.col("id") % 50).cast("string"), 256)
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(one, F.lit(phrase), two, F.when(F.col("id") % 3 == 0, F.lit(passage)).otherwise(F.lit("")), one).alias("text"))
+    assert len(hot_anchors(df)) > 0
+    assert shown(suffix_dedup.drop_repeats(df.repartition(7))) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+def hot_anchors(df):
+    rows = suffix_dedup._rows(df, "text", "doc_id")
+    found = suffix_dedup._anchor_groups(rows, 50, 3, 2, 40)
+    return [x for r in found.where("dest < 0").collect() for x in suffix_dedup.restored(r.a).tolist()]
+
+
+def test_squeezed_arrays_come_back():
+    for x in ([], [5], [-(2**63), 2**63 - 1, 0], [7, 7, 7], list(range(100_000))):
+        assert suffix_dedup.restored(suffix_dedup.squeezed(np.array(x, np.int64))).tolist() == x
+
+
+def test_runs_are_maximal():
+    rng = np.random.default_rng(2)
+    spans = [(int(k), int(a), int(a) + int(n)) for k, a, n in zip(rng.integers(0, 5, 300), rng.integers(0, 500, 300), rng.integers(1, 20, 300), strict=True)]
+    (k,), lo, hi = suffix_dedup.runs([np.array([s[0] for s in spans])], np.array([s[1] for s in spans]), np.array([s[2] for s in spans]))
+    wanted = [(key, *span) for key in range(5) for span in suffix_dedup.merge([s[1:] for s in spans if s[0] == key])]
+    assert sorted(zip(k.tolist(), lo.tolist(), hi.tolist(), strict=True)) == wanted
 
 
 def test_kept_bytes(docs):
