@@ -6,7 +6,9 @@ cells in rising order of a lower bound on the distance to anything in them (the
 multi-sequence order of the two sorted halves) as far as a radius.  The radius
 is the one that reaches the target recall on a brute-force sample of queries
 against all rows, with a margin, and never more than the radius at which no
-pair can be missed.  What is met is verified in double precision.
+pair can be missed; that radius serves where the samples meet too few links to
+tell.  What is met is verified in double precision, and a pair that either end
+meets counts for both.
 """
 
 from __future__ import annotations
@@ -18,18 +20,20 @@ from pyspark.sql import functions as F
 
 from .common import HOT_KEYS, components, lookup, stage
 
-#: Vectors that codebooks are fitted on, brute-force queries for the radius, and most vectors of a cell in one block.
-TRAIN_ROWS, PROBE_ROWS, BLOCK_ROWS, BROADCAST_CELLS = 20_000, 256, 4_096, 100_000
+#: Vectors that codebooks are fitted on, most vectors of a cell and most probes of it in one block, and bytes of crowded cells that are broadcast.
+TRAIN_ROWS, BLOCK_ROWS, BROADCAST_BYTES = 20_000, 512, 20_000_000
+#: Brute-force queries for the radius: the next number is drawn while fewer links than ENOUGH are met.
+PROBE_ROWS, ENOUGH = (256, 1024, 4096), 64
 MARGIN = 1.25
 
 
-def _unit(vectors, width: int):
-    """Rows of packed float32 vectors as unit vectors in double precision, padded to a width."""
+def _unit(vectors, width: int, dtype: str):
+    """Rows of packed vectors as unit vectors in double precision, padded to a width."""
     import numpy as np
 
     out = np.zeros((len(vectors), width))
     for row, v in zip(out, vectors, strict=True):
-        x = np.frombuffer(v, "<f4")
+        x = np.frombuffer(v, dtype)
         row[: len(x)] = x
     with np.errstate(over="ignore"):
         scale = np.abs(out).max(1, keepdims=True)
@@ -79,79 +83,83 @@ def multi_sequence(first, second, radius2: float):
     return cells
 
 
-def _radius2(classes: DataFrame, books, width: int, cosine: float, recall: float) -> float:
-    """Squared radius at which the sampled queries meet the target share of their true links."""
+def _radius2(classes: DataFrame, books, width: int, dtype: str, cosine: float, recall: float) -> float:
+    """Squared radius at which sampled queries meet the target share of their true links; the safe one where they have too few."""
     import numpy as np
     import pyarrow as pa
 
-    most = 2 - 2 * cosine + 1e-9
-    if recall >= 1:
-        return most
-    sample = classes.orderBy(F.xxhash64("cid", F.lit(7)), "cid").limit(PROBE_ROWS).select("cid", "grp", "vec").collect()
-    if not sample:
-        return most
-    half = width // 2
-    q, groups, ids = _unit([r.vec for r in sample], width), np.array([r.grp for r in sample]), np.array([r.cid for r in sample])
-    first, second = bounds(q[:, :half], books[0])[1], bounds(q[:, half:], books[1])[1]
-    bins = 200
+    most, half, bins = 2 - 2 * cosine + 1e-9, width // 2, 200
+    for count in PROBE_ROWS if recall < 1 else ():
+        sample = classes.orderBy(F.xxhash64("cid", F.lit(7)), "cid").limit(count).select("cid", "grp", "vec").collect()
+        if not sample:
+            return most
+        q, groups, ids = _unit([r.vec for r in sample], width, dtype), np.array([r.grp for r in sample]), np.array([r.cid for r in sample])
+        first, second = bounds(q[:, :half], books[0])[1], bounds(q[:, half:], books[1])[1]
+
+        def run(batches, q=q, groups=groups, ids=ids, first=first, second=second):
+            counts = np.zeros(bins + 1, np.int64)
+            for batch in batches:
+                for lo in range(0, len(batch), 1000):
+                    part = batch.slice(lo, 1000)
+                    x = _unit(part.column(2).to_pylist(), width, dtype)
+                    same = groups[:, None] == np.array(part.column(1).to_pylist())[None]
+                    i, j = np.nonzero((q @ x.T >= cosine) & same & (ids[:, None] != part.column(0).to_numpy()[None]))
+                    if len(i):
+                        c1, c2 = bounds(x[j][:, :half], books[0])[0], bounds(x[j][:, half:], books[1])[0]
+                        met = first[i, c1] + second[i, c2]
+                        counts += np.bincount(np.minimum(np.ceil(met / most * bins), bins).astype(int), minlength=bins + 1)
+            yield pa.record_batch([pa.array(range(bins + 1)), pa.array(counts)], ["bin", "n"])
+
+        counts = np.zeros(bins + 1)
+        for r in classes.select("cid", "grp", "vec").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            counts[r.bin] = r.n
+        if counts.sum() >= ENOUGH:
+            at = int(np.searchsorted(np.cumsum(counts), recall * counts.sum() - 1e-9))
+            return min(most, max((MARGIN**2) * (at + 1) / bins * most, most / 16))
+        if len(sample) < count:
+            break
+    return most
 
-    def run(batches):
-        counts = np.zeros(bins + 1, np.int64)
-        for batch in batches:
-            x = _unit(batch.column(2).to_pylist(), width)
-            same = groups[:, None] == np.array(batch.column(1).to_pylist())[None]
-            i, j = np.nonzero((q @ x.T >= cosine) & same & (ids[:, None] != batch.column(0).to_numpy()[None]))
-            if len(i):
-                c1, c2 = bounds(x[j][:, :half], books[0])[0], bounds(x[j][:, half:], books[1])[0]
-                met = first[i, c1] + second[i, c2]
-                counts += np.bincount(np.minimum(np.ceil(met / most * bins), bins).astype(int), minlength=bins + 1)
-        yield pa.record_batch([pa.array(range(bins + 1)), pa.array(counts)], ["bin", "n"])
-
-    rows = classes.select("cid", "grp", "vec").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(bins + 1)
-    for r in rows:
-        counts[r.bin] = r.n
-    if not counts.sum():
-        return most / 4
-    at = int(np.searchsorted(np.cumsum(counts), recall * counts.sum() - 1e-9))
-    return min(most, max((MARGIN**2) * (at + 1) / bins * most, most / 16))
-
-
-def _pairs(group_q, group_x, cosine: float):
-    """Per probe the linked weight, and links that span the classes of one block; ids are (cid, n, matrix)."""
+
+def _pairs(group_q, group_x, cosine: float, mutual):
+    """(ids, links that they gain) and links that span the classes of one block.
+
+    The groups are (ids, weights, unit vectors); mutual tells which of chosen
+    vectors of the second group visit the cells of chosen ones of the first.  A
+    pair that only the probe meets counts here for both of its ends.
+    """
     import numpy as np
 
-    qid, q = group_q
+    qid, q_weight, q = group_q
     xid, weight, x = group_x
-    root, linked = np.arange(len(xid)), np.zeros(len(qid), np.int64)
+    root, linked, back = np.arange(len(xid)), np.zeros(len(qid), np.int64), np.zeros(len(xid), np.int64)
     first = np.full(len(qid), -1)
-    parts = []
-    for lo in range(0, len(qid), 2048):
-        m = (q[lo : lo + 2048] @ x.T >= cosine) & (qid[lo : lo + 2048, None] != xid[None])
-        linked[lo : lo + 2048] = m @ weight
-        rows = np.flatnonzero(m.any(1))
-        if len(rows):
-            parts.append((lo + rows, m[rows]))
+    m = (q @ x.T >= cosine) & (qid[:, None] != xid[None])
+    rows, columns = np.flatnonzero(m.any(1)), np.flatnonzero(m.any(0))
+    if not len(rows):
+        return qid[rows], linked[rows], qid[rows], qid[rows]
+    m = m[rows]
+    linked[rows] = m @ weight
+    alone = m[:, columns] & ~mutual(rows, columns)
+    back[columns] = q_weight[rows] @ alone
     while True:
         old = root.copy()
-        for _, m in parts:
-            low = np.where(m, root[None], len(xid)).min(1)
-            np.minimum.at(root, np.nonzero(m)[1], np.repeat(low, m.sum(1)))
+        low = np.where(m, root[None], len(xid)).min(1)
+        np.minimum.at(root, np.nonzero(m)[1], np.repeat(low, m.sum(1)))
         root = root[root]
         if (root == old).all():
             break
-    for rows, m in parts:
-        first[rows] = np.where(m, root[None], len(xid)).min(1)
-    on = np.flatnonzero(first >= 0)
-    moved = np.flatnonzero(root != np.arange(len(xid)))
-    return linked, np.r_[qid[on], xid[moved]], np.r_[xid[first[on]], xid[root[moved]]]
+    first[rows] = np.where(m, root[None], len(xid)).min(1)
+    moved, met = np.flatnonzero(root != np.arange(len(xid))), np.flatnonzero(back)
+    return np.r_[qid[rows], xid[met]], np.r_[linked[rows], back[met]], np.r_[qid[rows], xid[moved]], np.r_[xid[first[rows]], xid[root[moved]]]
 
 
 def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, recall: float = 0.999) -> DataFrame:
     """One row per vector: key, n_links, component_id and kept.
 
     Vectors are compared when their labels are equal and not null and their
-    lengths agree; pairs found with at least the given cosine link.  Vectors
+    lengths agree; pairs found with at least the given cosine link.  Columns of
+    floats are read as such, all others as doubles.  Vectors
     that are null, empty, zero or hold null or non-finite components link with
     nothing.  Equal vectors are one class that is searched once.  component_id
     is the smallest key reachable, the vector itself included; rows with a null
@@ -162,17 +170,20 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     import numpy as np
     import pyarrow as pa
 
+    element = vectors.schema[vector].dataType.elementType.simpleString()
+    dtype, element = ("<f4", "float") if element == "float" else ("<f8", "double")
+
     def pack(batches):
         for batch in batches:
             out = []
             for v in batch.column(2):
                 x = v.as_py()
                 ok = x and None not in x
-                x = np.array(x, "<f4") if ok else None
+                x = np.array(x, dtype) if ok else None
                 out.append(x.tobytes() if ok and np.isfinite(x).all() and x.any() else None)
             yield pa.record_batch([*batch.columns[:2], pa.array(out, pa.binary())], ["id", "label", "vec"])
 
-    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<float>").alias("v"))
+    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast(f"array<{element}>").alias("v"))
     rows = rows.mapInArrow(pack, "id bigint, label string, vec binary")
     group = F.concat_ws(":", F.octet_length("vec").cast("string"), "label")
     valid = F.col("vec").isNotNull() & F.col("label").isNotNull()
@@ -182,18 +193,18 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     total, width = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
     if not total:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    width = max(2, width // 4)
+    width = max(2, width // np.dtype(dtype).itemsize)
     half = width // 2
     share = min(1.0, 1.1 * TRAIN_ROWS / total)
     train = classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))).orderBy(F.xxhash64("cid"), "cid").limit(TRAIN_ROWS).select("vec").collect()
-    points = _unit([r.vec for r in train], width)
+    points = _unit([r.vec for r in train], width, dtype)
     k = max(1, min(256, len(points), 1 << max(2, round(np.log2(max(1.0, total**0.5 / 7))))))
     books = _centres(points[:, :half], k), _centres(points[:, half:], k)
-    radius2 = _radius2(classes, books, width, cosine, recall)
+    radius2 = _radius2(classes, books, width, dtype, cosine, recall)
 
     def place(batches):
         for batch in batches:
-            x = _unit(batch.column(2).to_pylist(), width)
+            x = _unit(batch.column(2).to_pylist(), width, dtype)
             (n1, b1), (n2, b2) = bounds(x[:, :half], books[0]), bounds(x[:, half:], books[1])
             at, cell, probe = [], [], []
             for i in range(len(x)):
@@ -205,13 +216,17 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(cell, pa.int64()), pa.array(probe, pa.bool_())], ["cid", "grp", "vec", "n", "cell", "probe"])
 
     placed = classes.select("cid", "grp", "vec", "n").mapInArrow(place, "cid bigint, grp string, vec binary, n bigint, cell bigint, probe boolean")
-    nearest = classes.select("cid", "grp", "vec", "n").mapInArrow(place, "cid bigint, grp string, vec binary, n bigint, cell bigint, probe boolean").where(~F.col("probe"))
-    sizes = nearest.groupBy("grp", "cell").count().where(F.col("count") > BLOCK_ROWS)
-    sizes = stage(sizes.select(F.col("grp").alias("_g"), F.col("cell").alias("_c"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "op6-cells")
-    split = F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else sizes
-    placed = placed.join(split, (F.col("grp") == F.col("_g")) & (F.col("cell") == F.col("_c")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    one = F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("block", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(one)))
+    # crowded cells are split by vectors and by probes; each block of the one meets each block of the other
+    sizes = placed.groupBy("grp", "cell").agg(F.count_if("probe").alias("q"), F.count_if(~F.col("probe")).alias("x")).where((F.col("x") > 0) & (F.greatest("q", "x") > BLOCK_ROWS))
+    blocks = [F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_ROWS)).cast("int").alias(f"{c}s") for c in ("x", "q")]
+    sizes = stage(sizes.select(F.col("grp").alias("_g"), F.col("cell").alias("_c"), *blocks), "op6-cells")
+    crowded = sizes.agg(F.sum(F.octet_length("_g") + 40)).first()[0] or 0
+    split = F.broadcast(sizes) if crowded <= BROADCAST_BYTES else sizes
+    placed = placed.join(split, (F.col("grp") == F.col("_g")) & (F.col("cell") == F.col("_c")), "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("xs", "qs")})
+    own, other = (F.when(F.col("probe"), F.col(a)).otherwise(F.col(b)) for a, b in (("qs", "xs"), ("xs", "qs")))
+    mine = F.pmod(F.xxhash64("cid"), own)
+    placed = placed.select("*", mine.alias("_mine"), F.explode(F.sequence(F.lit(0), other - 1)).alias("_theirs"))
+    placed = placed.withColumn("block", F.when(F.col("probe"), F.col("_mine") * F.col("xs") + F.col("_theirs")).otherwise(F.col("_theirs") * F.col("xs") + F.col("_mine")).cast("int"))
 
     def verify(batches):
         held: list = []
@@ -220,18 +235,24 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             cid, vec, n = table.column("cid").to_numpy(), table.column("vec").to_pylist(), table.column("n").to_numpy()
             probe = table.column("probe").to_numpy(zero_copy_only=False)
             keys = list(zip(table.column("grp").to_pylist(), table.column("cell").to_pylist(), table.column("block").to_pylist(), strict=True))
-            unit = _unit(vec, width)
+            unit = _unit(vec, width, dtype)
             edge = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
             out = ([], [], [])
             for lo, hi in zip(edge, edge[1:], strict=False):
                 p = probe[lo:hi]
                 q, x = lo + np.flatnonzero(p), lo + np.flatnonzero(~p)
                 if len(q) and len(x):
-                    linked, u, v = _pairs((cid[q], unit[q]), (cid[x], n[x], unit[x]), cosine)
-                    on = np.flatnonzero(linked)
-                    out[0].extend([cid[q[on]], u])
-                    out[1].extend([np.full(len(on), -1), v])
-                    out[2].extend([linked[on], np.zeros(len(u), np.int64)])
+
+                    def mutual(rows, columns, q=q, x=x):
+                        """Whether vectors visit the cells of probes: chosen probes by chosen vectors."""
+                        there, here = unit[q[rows]], unit[x[columns]]
+                        one, two = bounds(there[:, :half], books[0])[0], bounds(there[:, half:], books[1])[0]
+                        return (bounds(here[:, :half], books[0])[1][:, one] + bounds(here[:, half:], books[1])[1][:, two] <= radius2).T
+
+                    gains, more, u, v = _pairs((cid[q], n[q], unit[q]), (cid[x], n[x], unit[x]), cosine, mutual)
+                    out[0].extend([gains, u])
+                    out[1].extend([np.full(len(gains), -1), v])
+                    out[2].extend([more, np.zeros(len(u), np.int64)])
             return pa.record_batch([pa.array(np.concatenate([np.empty(0, np.int64), *c]).astype(np.int64)) for c in out], ["u", "v", "w"])
 
         for batch in batches:

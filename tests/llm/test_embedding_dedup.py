@@ -82,6 +82,68 @@ def test_blocks_of_a_crowded_cell(spark, vectors, monkeypatch):
     assert shown(ed.link_vectors(spark.createDataFrame(vectors, SCHEMA), recall=1.0)) == brute(vectors)
 
 
+def rare_and_common(n=6000, width=32, seed=9):
+    """Vectors of which few are linked: 40 pairs of near copies and one group of 30, the rest on their own."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width))
+    for k in range(40):
+        x[2 * k + 1] = x[2 * k] + rng.normal(size=width) * 0.1
+    x[1000:1030] = x[1000] + rng.normal(size=(30, width)) * 0.08
+    return [(k, [float(np.float32(c)) for c in v], k % 2 if k >= 2000 else 0) for k, v in enumerate(x)]
+
+
+def test_recall_of_queries_against_all_rows(spark, capsys):
+    rows = rare_and_common()
+    found, truth = shown(ed.link_vectors(spark.createDataFrame(rows, SCHEMA).repartition(4))), brute_rows(rows)
+    queries = [k for k in truth if k % 20 == 0]
+    met, wanted = sum(found[k][0] for k in queries), sum(truth[k] for k in queries)
+    with capsys.disabled():
+        print(f"\nrecall of ids divisible by 20: {met} of {wanted} links; of all ids: {sum(x[0] for x in found.values())} of {sum(truth.values())}")
+    assert wanted > 20 and met >= 0.9 * wanted
+    assert all(found[k][0] <= truth[k] for k in truth)
+    assert sum(x[0] for x in found.values()) >= 0.99 * sum(truth.values())
+
+
+def brute_rows(rows, cosine=0.98):
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([g for _, _, g in rows])
+    m = (x @ x.T >= cosine) & (label[:, None] == label[None])
+    return {k: int(n) - 1 for (k, _, _), n in zip(rows, m.sum(1), strict=True)}
+
+
+def test_too_few_links_to_tell_take_the_safe_radius(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 16))
+    x[7] = x[3] + rng.normal(size=16) * 0.12  # one pair, close to the limit
+    rows = [(k, [float(np.float32(c)) for c in v], 1) for k, v in enumerate(x)]
+    truth = brute_rows(rows)
+    assert sum(truth.values()) == 2
+    found = shown(ed.link_vectors(spark.createDataFrame(rows, SCHEMA)))
+    assert {k: f[0] for k, f in found.items()} == truth and found[7][1] == 3
+
+
+@pytest.mark.parametrize("radius", [0.002, 0.01, 0.02])
+def test_a_pair_that_one_end_meets_counts_for_both(spark, vectors, monkeypatch, radius):
+    monkeypatch.setattr(ed, "_radius2", lambda *a: radius)
+    rows = vectors[:500]
+    found, truth = shown(ed.link_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3))), brute(rows)
+    assert all(f[0] <= truth[k][0] for k, f in found.items())
+    # what is counted is pairs: as many ends as there are, and no linked vector without a link of its own
+    assert sum(f[0] for f in found.values()) % 2 == 0
+    for k, f in found.items():
+        assert (f[0] > 0) == any(j != k and g[1] == f[1] for j, g in found.items())
+
+
+def test_doubles_stay_doubles(spark):
+    a = [1.0, 0.0]
+    over = [0.98 + 1e-12, math.sqrt(1 - (0.98 + 1e-12) ** 2)]
+    under = [0.98 - 1e-12, math.sqrt(1 - (0.98 - 1e-12) ** 2)]
+    rows = [(1, a, 1), (2, over, 1), (11, a, 2), (12, under, 2), (21, [3.0, 4.0], 3), (22, [6.0, 8.0], 3)]
+    found = shown(ed.link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")))
+    assert [found[k][0] for k in (1, 2, 11, 12, 21, 22)] == [1, 1, 0, 0, 1, 1]
+
+
 def test_clashing_names_and_null_keys(spark, vectors):
     df = spark.createDataFrame(vectors[:90], SCHEMA)
     wide = df.select("*", *[F.lit("x").alias(c) for c in ("id", "vec", "cid", "grp", "n", "ckey", "cell", "probe", "n_links", "component_id", "kept", "root", "first")])
