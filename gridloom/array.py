@@ -23,8 +23,10 @@ PRINT_CELLS = 10_000
 class GridArray:
     """Immutable array; see the modules in operators for what it can do."""
 
-    def __init__(self, base: DataFrame, value: Column, shape):
+    def __init__(self, base: DataFrame, value: Column, shape, packed=None, flipped: GridArray | None = None):
+        """packed holds the same matrix with one array per row, flipped the array that this one is the transpose of, where known."""
         self.base, self.value, self.shape = base, value, S.checked(shape)
+        self.packed, self.flipped = packed, flipped
 
     @classmethod
     def of(cls, frame: DataFrame, shape) -> GridArray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..array import GridArray
+from ..array import BROADCAST_CELLS, GridArray
 from ..errors import ShapeMismatchError
 from ..functions import ieee
 from ..plans import shape as S
@@ -18,13 +18,15 @@ def mask_select(a: GridArray, mask: GridArray) -> GridArray:
         raise ShapeMismatchError(f"mask {mask.shape} is larger than {a.shape}")
     x, m = aligned(a, mask)
     kept = x.base.where(ieee.truthy(m.value)).select("lin", x.value.alias("v"))
-    return GridArray.of(renumbered(kept, a.size), (kept.count(),))
+    frame, count = renumbered(kept, a.size)
+    return GridArray.of(frame, (count,))
 
 
 def nonzero(a: GridArray) -> GridArray:
     """Flat indices of the cells that are not zero, as doubles (counts them: one job)."""
     kept = a.base.where(ieee.truthy(a.value)).select("lin", F.col("lin").cast("double").alias("v"))
-    return GridArray.of(renumbered(kept, a.size), (kept.count(),))
+    frame, count = renumbered(kept, a.size)
+    return GridArray.of(frame, (count,))
 
 
 def take(a: GridArray, *indices: int) -> GridArray:
@@ -33,5 +35,6 @@ def take(a: GridArray, *indices: int) -> GridArray:
     if any(not -n <= i < n for i in indices):
         raise ShapeMismatchError(f"an index is out of range for {n} cells")
     wanted = a.spark.createDataFrame([(k, i % n) for k, i in enumerate(indices)], "pos bigint, at bigint")
-    found = a.frame.join(F.broadcast(wanted), F.col("lin") == F.col("at"))
+    wanted = F.broadcast(wanted) if n and len(indices) <= BROADCAST_CELLS else wanted
+    found = a.frame.join(wanted, F.col("lin") == F.col("at"))
     return GridArray.of(found.select(F.col("pos").alias("lin"), "v"), (len(indices),))

@@ -1,8 +1,11 @@
 """Products of vectors and matrices.
 
-The plan follows from the shapes: a right side of few cells goes to every task
-and meets row blocks in NumPy; otherwise both sides become square blocks that
-join on the inner axis, and partial blocks are added up in two steps.
+The plan follows from the shapes.  A matrix with its own transpose is summed up
+row by row where rows are stored as arrays.  Few results over a long inner axis
+are one partial product a task, added up once.  Otherwise a right side of few
+cells goes to every task and meets row blocks in NumPy; larger pairs become
+square blocks that join on the inner axis, whose partial blocks are added up in
+two steps.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from .views import transpose
 
 #: Side of a block, and partial blocks that one task adds up at a time.
 SIDE, PARTIALS = 512, 32
+#: Most cells of a result that each task holds whole, and of both sides that it multiplies at a time.
+INNER_CELLS, SLAB_CELLS = 1 << 18, 1 << 20
 
 
 def _cells(a: GridArray, i: str, j: str) -> DataFrame:
@@ -33,21 +38,74 @@ def matmul(a: GridArray, b: GridArray) -> GridArray:
         from .creation import zeros
 
         return zeros(a.spark, m, n)
+    if a.flipped is b and b.packed is not None and m * n <= INNER_CELLS:
+        return _gram(b)
+    if m * n <= INNER_CELLS and k > max(m, n):
+        return _by_inner(a, b)
     if b.size <= BROADCAST_CELLS:
         return _by_rows(a, b)
     if a.size <= BROADCAST_CELLS:
         return transpose(_by_rows(transpose(b), transpose(a)))
-    if m * n <= 1 << 14:
-        return _by_join(a, b)
     return _by_blocks(a, b)
 
 
-def _by_join(a: GridArray, b: GridArray) -> GridArray:
-    """Join of cells on the inner axis; few results, so partial sums shrink before the shuffle."""
-    left, right = _cells(a, "i", "k"), _cells(b, "kk", "j").withColumnRenamed("v", "w")
-    n = b.shape[1]
-    cells = left.join(right, F.col("k") == F.col("kk")).groupBy((F.col("i") * n + F.col("j")).alias("lin"))
-    return GridArray.of(cells.agg(F.sum(F.col("v") * F.col("w")).alias("v")), (a.shape[0], n))
+def _summed(partial: DataFrame, shape) -> GridArray:
+    """Partial products (lin, v) of tasks, added up."""
+    return GridArray.of(partial.groupBy("lin").agg(F.sum("v").alias("v")), shape)
+
+
+def _partial(total):
+    """A task's partial product as a record batch (lin, v); none if it had no rows."""
+    import pyarrow as pa
+
+    if total is not None:
+        yield pa.record_batch([pa.array(range(total.size), pa.int64()), pa.array(total.ravel())], ["lin", "v"])
+
+
+def _gram(a: GridArray) -> GridArray:
+    """The transpose of a times a, from the packed rows of a: one partial product a task and no other shuffle."""
+    import numpy as np
+
+    width = a.shape[1]
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            rows = np.asarray(batch.column(0).flatten()).reshape(-1, width)
+            total = rows.T @ rows if total is None else total + rows.T @ rows
+        yield from _partial(total)
+
+    return _summed(a.packed.frame.select("row").mapInArrow(run, "lin bigint, v double"), (width, width))
+
+
+def _by_inner(a: GridArray, b: GridArray) -> GridArray:
+    """Slabs of the inner axis: cells of both sides meet by slab, and each task adds up its products."""
+    import numpy as np
+
+    (m, k), n = a.shape, b.shape[1]
+    depth = max(1, min(k, SLAB_CELLS // (m + n)))
+
+    def run(batches):
+        total, at, left, right = None, None, np.zeros((m, depth)), np.zeros((depth, n))
+        for batch in batches:
+            slab, second, outer, inner, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            edge = np.flatnonzero(np.r_[True, slab[1:] != slab[:-1]]) if len(slab) else []
+            for lo, hi in zip(edge, [*edge[1:], len(slab)], strict=False):
+                if slab[lo] != at:
+                    if at is not None:
+                        total = left @ right if total is None else total + left @ right
+                    at = slab[lo]
+                    left[:], right[:] = 0, 0
+                s, o, i, x = second[lo:hi], outer[lo:hi], inner[lo:hi] - at * depth, v[lo:hi]
+                left[o[~s], i[~s]] = x[~s]
+                right[i[s], o[s]] = x[s]
+        if at is not None:
+            total = left @ right if total is None else total + left @ right
+        yield from _partial(total)
+
+    sides = [_cells(x, *names).select(S.div(F.col("k"), depth).alias("slab"), F.lit(second).alias("second"), "o", "k", "v") for x, names, second in ((a, ("o", "k"), False), (b, ("k", "o"), True))]
+    dealt = sides[0].unionByName(sides[1]).repartition("slab").sortWithinPartitions("slab")
+    return _summed(dealt.mapInArrow(run, "lin bigint, v double"), (m, n))
 
 
 def _by_rows(a: GridArray, b: GridArray) -> GridArray:
@@ -59,6 +117,19 @@ def _by_rows(a: GridArray, b: GridArray) -> GridArray:
     right[cells["lin"].to_numpy()] = cells["v"].to_numpy()
     right = right.reshape(k, n)
     rows = max(1, min(SIDE, (1 << 22) // max(k, n)))
+    if a.packed is not None:  # rows are in one place already
+
+        def stored(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for lo in range(0, len(batch), rows):
+                    part = batch.slice(lo, rows)
+                    i = part.column(0).to_numpy()
+                    out = np.asarray(part.column(1).flatten()).reshape(len(i), k) @ right
+                    yield pa.record_batch([pa.array((i[:, None] * n + np.arange(n)).ravel()), pa.array(out.ravel())], ["lin", "v"])
+
+        return GridArray.of(a.packed.frame.select("i", "row").mapInArrow(stored, "lin bigint, v double"), (m, n))
 
     def run(pdf):
         import pandas as pd

@@ -25,14 +25,28 @@ class PackedRows:
     def _vector(self, value: Column) -> GridArray:
         return GridArray.of(self.frame.select(F.col("i").alias("lin"), value.alias("v")), (self.shape[0],))
 
+    def reduced(self, name: str) -> Column:
+        """A reduction of each row; a NaN is the largest value, and a minimum that meets one is NaN."""
+        row = F.col("row")
+        total = F.aggregate(row, F.lit(0.0), lambda s, x: s + x)
+        return {
+            "sum": lambda: total,
+            "mean": lambda: total / F.lit(float(self.shape[1])),
+            "prod": lambda: F.aggregate(row, F.lit(1.0), lambda s, x: s * x),
+            "max": lambda: F.array_max(row),
+            "min": lambda: F.when(F.exists(row, F.isnan), nan()).otherwise(F.array_min(row)),
+            "argmax": lambda: (F.array_position(row, F.array_max(row)) - 1).cast("double"),
+            "argmin": lambda: (F.array_position(row, F.array_min(row)) - 1).cast("double"),
+        }[name]()
+
     def sum_rows(self) -> GridArray:
-        return self._vector(F.aggregate("row", F.lit(0.0), lambda s, x: s + x))
+        return self._vector(self.reduced("sum"))
 
     def max_rows(self) -> GridArray:
-        return self._vector(F.array_max("row"))
+        return self._vector(self.reduced("max"))
 
     def min_rows(self) -> GridArray:
-        return self._vector(F.when(F.exists("row", F.isnan), nan()).otherwise(F.array_min("row")))
+        return self._vector(self.reduced("min"))
 
     def dot(self, weights: list[float]) -> GridArray:
         """Product with a vector of width numbers."""

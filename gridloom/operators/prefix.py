@@ -33,13 +33,17 @@ def running(frame: DataFrame, line: Column, position: Column, length: int, total
     return f.withColumn("run", joined).drop("_line", "_pos", "_block", "_before")
 
 
-def renumbered(frame: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
-    """frame (lin, v) with lin replaced by 0, 1, 2, ... in its order."""
+def renumbered(frame: DataFrame, length: int, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """frame (lin, v) with lin replaced by 0, 1, 2, ... in its order, and the number of rows.
+
+    The rows of each block are counted once, by a job; the table of counts is kept for the frame.
+    """
     f = frame.withColumn("_block", S.div(F.col("lin"), block))
     rank = F.row_number().over(Window.partitionBy("_block").orderBy("lin")).cast("bigint") - 1
+    counts = f.groupBy("_block").agg(F.count("*").cast("double").alias("v")).cache()
+    total = int(counts.agg(F.sum("v")).first()[0] or 0)
     if length <= block:
-        return f.withColumn("lin", rank).drop("_block")
-    counts = f.groupBy("_block").agg(F.count("*").cast("double").alias("v"))
+        return f.withColumn("lin", rank).drop("_block"), total
     counts = running(counts.withColumnRenamed("_block", "_b"), F.lit(0), F.col("_b"), -(-length // block), F.sum, block)
     before = counts.select(F.col("_b").alias("_block"), (F.col("run") - F.col("v")).cast("bigint").alias("_before"))
-    return f.withColumn("lin", rank).join(before, "_block").withColumn("lin", F.col("lin") + F.col("_before")).select("lin", "v")
+    return f.withColumn("lin", rank).join(before, "_block").withColumn("lin", F.col("lin") + F.col("_before")).select("lin", "v"), total

@@ -53,6 +53,8 @@ def _axis(name: str):
         if not a.shape[axis]:
             raise ShapeMismatchError(f"axis {axis} has length 0")
         shape, lin = S.reduced(a.shape, axis, keepdims), F.col("lin")
+        if a.packed is not None and axis == 1:  # each row is in one place
+            return GridArray.of(a.packed.frame.select(F.col("i").alias("lin"), a.packed.reduced(name).alias("v")), shape)
         others = [k for k in range(a.ndim) if k != axis]
         out = S.relinear([S.coordinate(lin, a.shape, k) for k in others], tuple(a.shape[k] for k in others))
         cells = a.base.select(out.alias("lin"), S.coordinate(lin, a.shape, axis).alias("at"), a.value.alias("v"))

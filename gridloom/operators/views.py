@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..array import GridArray
+from ..array import BROADCAST_CELLS, GridArray
 from ..errors import AxisError, IndexRangeError, ShapeMismatchError
 from ..plans import shape as S
 
+#: Longest array that stretching puts in a row, and cells of a result for each task of a stretched small array.
+SPAN, RANGE_CELLS = 4_096, 1 << 24
+
 
 def _moved(a: GridArray, lin, shape, keep=None) -> GridArray:
     base = a.base if keep is None else a.base.where(keep)
@@ -30,9 +33,12 @@ def transpose(a: GridArray) -> GridArray:
     """All axes in reverse."""
     if a.ndim < 2:
         return a.copy()
+    if a.flipped is not None:
+        return a.flipped
     shape = a.shape[::-1]
     at = [S.coordinate(F.col("lin"), a.shape, k) for k in range(a.ndim)]
-    return _moved(a, S.relinear(at[::-1], shape), shape)
+    moved = _moved(a, S.relinear(at[::-1], shape), shape)
+    return GridArray(moved.base, moved.value, shape, flipped=a)
 
 
 def expand_dims(a: GridArray, axis: int) -> GridArray:
@@ -84,9 +90,29 @@ def broadcast_to(a: GridArray, shape) -> GridArray:
         return GridArray(a.base, a.value, shape)
     if 0 in shape:
         return GridArray.of(a.frame.where(F.lit(False)), shape)
+    lin = F.col("lin")
+    if a.size <= BROADCAST_CELLS:  # the cells of the result fetch theirs, so work spreads by the result
+        total = S.size(shape)
+        cells = a.spark.range(0, total, 1, max(a.spark.sparkContext.defaultParallelism, total // RANGE_CELLS)).withColumnRenamed("id", "lin")
+        at = [S.coordinate(lin, shape, k) if n == shape[k] else F.lit(0).cast("bigint") for k, n in enumerate(own)]
+        side = a.frame.select(F.col("lin").alias("from"), "v")
+        return GridArray.of(cells.withColumn("at", S.relinear(at, own)).join(F.broadcast(side), F.col("at") == F.col("from")).select("lin", "v"), shape)
     frame, at = a.frame, []
     for k, (n, m) in enumerate(zip(own, shape, strict=True)):
         if n != m:
-            frame = frame.withColumn(f"x{k}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))))
-        at.append(F.col(f"x{k}") if n != m else S.coordinate(F.col("lin"), own, k))
+            frame = _stretched(frame, f"x{k}", m)
+        at.append(F.col(f"x{k}") if n != m else S.coordinate(lin, own, k))
     return GridArray.of(frame.select(S.relinear(at, shape).alias("lin"), "v"), shape)
+
+
+def _stretched(frame, name: str, m: int):
+    """Each row m times, with its turn in a column; no row holds an array of more than SPAN numbers."""
+    step = 1
+    while step * SPAN < m:
+        step *= SPAN
+    turn = F.lit(0).cast("bigint")
+    while step:
+        upto = F.least(F.lit(m - 1), turn + step * SPAN - 1) if step * SPAN < m else F.lit(m - 1)
+        frame = frame.withColumn(name, F.explode(F.sequence(turn, upto.cast("bigint"), F.lit(step).cast("bigint"))))
+        turn, step = F.col(name), step // SPAN
+    return frame

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..array import GridArray
+from ..operators.packed import PackedRows
 
 
 def vectors(table: DataFrame, key: str, *columns: str, length: int | None = None) -> list[GridArray]:
@@ -20,11 +21,12 @@ def vector(table: DataFrame, key: str, column: str, length: int | None = None) -
 
 
 def rows_matrix(table: DataFrame, key: str, column: str, width: int, length: int | None = None) -> GridArray:
-    """Matrix from a column of arrays that all hold width numbers."""
+    """Matrix from a column of arrays that all hold width numbers; reductions of its rows and products take the arrays as they are."""
     length = table.count() if length is None else length
     cells = table.select(F.col(key).cast("bigint").alias("i"), F.posexplode(column).alias("j", "x"))
     lin = F.col("i") * F.lit(width).cast("bigint") + F.col("j")
-    return GridArray.of(cells.select(lin.alias("lin"), F.col("x").cast("double").alias("v")), (length, width))
+    cells = cells.select(lin.alias("lin"), F.col("x").cast("double").alias("v"))
+    return GridArray(cells, F.col("v"), (length, width), packed=PackedRows.of(table, key, column, (length, width)))
 
 
 def columns_matrix(table: DataFrame, key: str, *columns: str, length: int | None = None) -> GridArray:

@@ -172,8 +172,9 @@ def test_scans(arr, spark, monkeypatch):
     x = np.arange(1.0, 101).reshape(5, 20)
     cells = prefix.running(arr(x).frame, S.F.col("lin") % 1, S.F.col("lin"), 100, S.F.sum, block=3)
     assert [r.run for r in sorted(cells.collect(), key=lambda r: r.lin)] == x.cumsum().tolist()
-    kept = prefix.renumbered(arr(x).frame.where("lin % 7 = 3"), 100, block=4).orderBy("lin").collect()
-    assert [(r.lin, r.v) for r in kept] == list(enumerate(x.ravel()[3::7]))
+    for block in (4, 1000):
+        kept, count = prefix.renumbered(arr(x).frame.where("lin % 7 = 3"), 100, block=block)
+        assert [(r.lin, r.v) for r in kept.orderBy("lin").collect()] == list(enumerate(x.ravel()[3::7])) and count == len(x.ravel()[3::7])
 
 
 def test_combination(arr):
@@ -195,7 +196,7 @@ def test_combination(arr):
 def test_linalg(arr, monkeypatch):
     rng = np.random.default_rng(0)
     a, b = rng.integers(-8, 8, (7, 5)).astype(float), rng.integers(-8, 8, (5, 9)).astype(float)
-    for plan in (linalg.matmul, linalg._by_join, linalg._by_rows):
+    for plan in (linalg.matmul, linalg._by_inner, linalg._by_rows):
         same(plan(arr(a), arr(b)), a @ b)
     monkeypatch.setattr(linalg, "SIDE", 2)
     monkeypatch.setattr(linalg, "PARTIALS", 2)
@@ -210,6 +211,42 @@ def test_linalg(arr, monkeypatch):
             bad()
 
 
+def test_products_of_tall_matrices(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(-8, 8, (20_000, 3)).astype(float), rng.integers(-8, 8, (20_000, 4)).astype(float)
+    frame = spark.createDataFrame([(k, [float(c) for c in r], [float(c) for c in q]) for k, (r, q) in enumerate(zip(x, y, strict=True))], "k bigint, x array<double>, y array<double>").repartition(5)
+    a, b = sources.rows_matrix(frame, "k", "x", 3), sources.rows_matrix(frame, "k", "y", 4)
+    monkeypatch.setattr(linalg, "SLAB_CELLS", 7_000)
+    for found, wanted in ((linalg.matmul(views.transpose(a), a), x.T @ x), (linalg.matmul(views.transpose(a), b), x.T @ y), (linalg.inner(views.transpose(a), views.transpose(a)), x.T @ x), (linalg.inner(a, views.slice_(b, S.until(2), S.until(3))), x @ y[:2, :3].T)):
+        plan = found.frame._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan  # no pairs of cells on the inner axis
+        assert found.shape == wanted.shape and np.array_equal([r.v for r in sorted(found.frame.collect())], wanted.ravel())
+    assert "hashpartitioning(slab" not in linalg.matmul(views.transpose(a), a).frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reductions_of_packed_rows(spark):
+    x = np.array([[1.0, 5.0, 3.0], [9.0, np.nan, 9.0], [-1.0, -2.0, -2.0], [np.nan, np.nan, np.nan]])
+    m = sources.rows_matrix(spark.createDataFrame([(k, [float(c) for c in r]) for k, r in enumerate(x)], "k bigint, x array<double>"), "k", "x", 3)
+    cells = views.reshape(views.ravel(m), 4, 3)
+    for op in (red.sum_axis, red.prod_axis, red.max_axis, red.min_axis, red.mean_axis, red.argmax_axis, red.argmin_axis):
+        packed, plain = op(m, 1, True), op(cells, 1, True)
+        assert "Exchange" not in packed.frame._jdf.queryExecution().executedPlan().toString() and packed.shape == plain.shape == (4, 1)
+        assert np.array_equal(packed.to_list(), plain.to_list(), equal_nan=True), op.__name__
+        assert np.array_equal(op(m, 0).to_list(), op(cells, 0).to_list(), equal_nan=True)
+
+
+def test_long_stretches_hold_no_long_array(arr, monkeypatch):
+    from gridloom.operators import views as v
+
+    monkeypatch.setattr(v, "SPAN", 4)
+    for few in (v.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(v, "BROADCAST_CELLS", few)
+        for m in (1, 3, 4, 5, 16, 17, 65, 300):
+            same(v.broadcast_to(arr([[1], [2]]), (2, m)), np.repeat([[1], [2]], m, 1))
+        same(v.broadcast_to(arr([1, 2]), (7, 5, 2)), np.broadcast_to([1, 2], (7, 5, 2)))
+        same(v.broadcast_to(arr([[[3]]]), (2, 9, 6)), np.full((2, 9, 6), 3))
+
+
 def test_sources(spark, tmp_path):
     t = spark.createDataFrame([(1, 2.0, 5, [1.0, 2.0]), (0, 1.0, 4, [3.0, 4.0])], "k bigint, x double, y int, r array<float>")
     x, y = sources.vectors(t, "k", "x", "y")
