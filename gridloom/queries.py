@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .array import GridArray
+from .errors import GridError
 from .operators import combine, creation, elementwise, indexing, linalg, reductions, views
 from .operators.packed import PackedRows
 from .plans import shape as S
@@ -150,8 +151,7 @@ array_query("divide_by_zero", "SELECT i AS i0, CASE WHEN v > 0 THEN 'Infinity'::
 array_query("nan_comparison", "SELECT i AS i0, CASE WHEN v < 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM c")(lambda s, d: (lambda x: elementwise.not_equal(x, x))(elementwise.sqrt(C(s, d))))
 array_query("broadcast_row", "SELECT i AS i0, j AS i1, round(v + (SELECT b.v FROM e b WHERE b.i = em.j), 4) AS v FROM em")(lambda s, d: elementwise.add(EM(s, d), views.slice_(E(s, d), S.until(COLUMNS))))
 array_query("broadcast_column", "SELECT i AS i0, j AS i1, round(v * (SELECT b.v FROM em b WHERE b.i = em.i AND b.j = 0), 4) AS v FROM em")(lambda s, d: (lambda a: elementwise.mul(a, views.slice_(a, S.everything(), S.until(1))))(EM(s, d)))
-array_query("broadcast_both", "SELECT a.i AS i0, b.i AS i1, round(a.v + b.v, 4) AS v FROM (SELECT * FROM c WHERE i < 40) a, (SELECT * FROM e WHERE i < 30) b")(lambda s, d: elementwise.add(views.expand_dims(views.slice_(C(s, d), S.until(40)), 1), views.expand_dims(views.slice_(E(s, d), S.until(30)), 0)))
-array_query("broadcast_both_whole", "SELECT a.i AS i0, b.j::BIGINT AS i1, round(a.v + b.v, 4) AS v FROM (SELECT i, max(v) AS v FROM m GROUP BY 1) a, (SELECT j, max(v) AS v FROM m GROUP BY 1) b")(lambda s, d: (lambda a: elementwise.add(reductions.max_axis(a, 1, True), reductions.max_axis(a, 0, True)))(M(s, d)))
+array_query("broadcast_both", "SELECT a.i AS i0, b.j::BIGINT AS i1, round(a.v + b.v, 4) AS v FROM (SELECT i, max(v) AS v FROM m GROUP BY 1) a, (SELECT j, max(v) AS v FROM m GROUP BY 1) b")(lambda s, d: (lambda a: elementwise.add(reductions.max_axis(a, 1, True), reductions.max_axis(a, 0, True)))(M(s, d)))
 array_query("where", f"SELECT i AS i0, round(CASE WHEN x > 0 THEN y ELSE x END, 4) AS v FROM {_PAIR}")(lambda s, d: (lambda a, b: elementwise.where(elementwise.greater(a, 0.0), b, a))(*_pair(s, d)))
 
 # selection
@@ -174,6 +174,7 @@ for _name, _sql in (("sum", "sum(v)"), ("mean", "avg(v)"), ("max", "max(v)"), ("
     for _axis in (0, 1):
         array_query(f"{_name}_axis{_axis}", f"SELECT {'ij'[1 - _axis]} AS i0, round({_sql}, 4) AS v FROM em GROUP BY 1")(lambda s, d, op=getattr(reductions, f"{_name}_axis"), k=_axis: op(EM(s, d), k))
 array_query("prod_axis1", "SELECT i AS i0, round(product(1 + v / 1000), 4) AS v FROM em GROUP BY 1")(lambda s, d: reductions.prod_axis(elementwise.add(elementwise.div(EM(s, d), 1000.0), 1.0), 1))
+array_query("prod_axis0", "SELECT j AS i0, round(product(1 + v / 1000000), 6) AS v FROM em GROUP BY 1", 6)(lambda s, d: reductions.prod_axis(elementwise.add(elementwise.div(EM(s, d), 1e6), 1.0), 0))
 array_query("sum_axis_keepdims", "SELECT 0::BIGINT AS i0, j AS i1, round(sum(v), 4) AS v FROM em GROUP BY 2")(lambda s, d: reductions.sum_axis(EM(s, d), 0, True))
 for _name, _f in (("argmax", "max"), ("argmin", "min")):
     for _axis in (0, 1):
@@ -183,9 +184,65 @@ array_query("packed_sum_rows", "SELECT i AS i0, round(sum(v), 6) AS v FROM m GRO
 array_query("cumsum_axis0", "SELECT i AS i0, j AS i1, round(sum(v) OVER (PARTITION BY j ORDER BY i), 4) AS v FROM em")(lambda s, d: reductions.cumsum(EM(s, d), 0))
 array_query("cumsum_axis1", "SELECT i AS i0, j AS i1, round(sum(v) OVER (PARTITION BY i ORDER BY j), 4) AS v FROM em")(lambda s, d: reductions.cumsum(EM(s, d), 1))
 array_query("cumprod_axis1", "SELECT i AS i0, j AS i1, round(product(1 + v / 1000) OVER (PARTITION BY i ORDER BY j), 4) AS v FROM em")(lambda s, d: reductions.cumprod(elementwise.add(elementwise.div(EM(s, d), 1000.0), 1.0), 1))
+array_query("cumprod_axis0", "SELECT i AS i0, j AS i1, round(product(1 + v / 1000000) OVER (PARTITION BY j ORDER BY i), 6) AS v FROM em", 6)(lambda s, d: reductions.cumprod(elementwise.add(elementwise.div(EM(s, d), 1e6), 1.0), 0))
 array_query("cumsum_flat", "SELECT i AS i0, round(sum(v) OVER (ORDER BY i), 4) AS v FROM e")(lambda s, d: reductions.cumsum_flat(EM(s, d)))
 array_query("cumprod_flat", "SELECT i AS i0, round(product(1 + v / 1000000) OVER (ORDER BY i), 6) AS v FROM e", 6)(lambda s, d: reductions.cumprod_flat(elementwise.add(elementwise.div(EM(s, d), 1e6), 1.0)))
 
+# NaN and empty arrays: maxima and minima that meet a NaN are NaN, and only sums and products of nothing have a value
+_ROOT = "CASE WHEN v < 50 THEN 'NaN'::DOUBLE ELSE round(sqrt(v - 50), 4) END"
+_ROOTS = lambda s, d: elementwise.sqrt(elementwise.sub(EM(s, d), 50.0))
+for _name in ("max", "min"):
+    query(f"{_name}_nan", f"SELECT CASE WHEN bool_or(v < 0) THEN 'NaN'::DOUBLE ELSE {_name}(round(sqrt(abs(v)), 4)) END AS v FROM c")(lambda s, d, name=_name: reductions.whole_frame(elementwise.sqrt(C(s, d)), name).select(F.round("v", 4).alias("v")))
+    for _axis in (0, 1):
+        array_query(f"{_name}_axis{_axis}_nan", f"SELECT {'ij'[1 - _axis]} AS i0, CASE WHEN bool_or(v < 50) THEN 'NaN'::DOUBLE ELSE {_name}(x) END AS v FROM (SELECT *, {_ROOT} AS x FROM em) GROUP BY 1")(lambda s, d, op=getattr(reductions, f"{_name}_axis"), k=_axis: op(_ROOTS(s, d), k))
+
+
+def _said(spark, calls):
+    """What each call gives, or the error that it raises."""
+    rows = []
+    for name, call in calls:
+        try:
+            rows.append((name, str(call())))
+        except GridError as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "call string, result string")
+
+
+def _values(rows) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in rows) + ") t(call, result)"
+
+
+@query("empty_reductions", _values([("sum", "0.0"), ("prod", "1.0"), *[(f, "ShapeMismatchError") for f in ("mean", "max", "min", "argmax", "argmin")], ("sum_axis", "ShapeMismatchError"), ("sum of no rows", "Array(shape=[0], data=[])")]))
+def _empty_reductions(s, d):
+    nothing = views.slice_(C(s, d), S.until(0))
+    calls = [(f, lambda f=f: getattr(reductions, f)(nothing)) for f in ("prod", "mean", "argmax", "argmin")]
+    calls += [("sum", lambda: reductions.sum_(nothing)), ("max", lambda: reductions.max_(nothing)), ("min", lambda: reductions.min_(nothing))]
+    calls += [("sum_axis", lambda: reductions.sum_axis(creation.zeros(s, 0, 3), 0)), ("sum of no rows", lambda: reductions.sum_axis(creation.zeros(s, 0, 3), 1))]
+    return _said(s, calls)
+
+
+_ERRORS = [
+    ("reshape", "ShapeMismatchError", lambda a, m: views.reshape(a, -1, a.size + 1)),
+    ("negative shape", "ShapeMismatchError", lambda a, m: creation.zeros(a.spark, -1)),
+    ("step of zero", "ShapeMismatchError", lambda a, m: creation.arange(a.spark, 0, 5, 0)),
+    ("add", "BroadcastError", lambda a, m: elementwise.add(views.slice_(a, S.until(3)), views.slice_(a, S.until(2)))),
+    ("broadcast_to", "BroadcastError", lambda a, m: views.broadcast_to(views.slice_(a, S.until(3)), (2, 2))),
+    ("axis", "AxisError", lambda a, m: reductions.sum_axis(m, 2)),
+    ("expand_dims", "AxisError", lambda a, m: views.expand_dims(m, 4)),
+    ("at", "IndexRangeError", lambda a, m: a.at(a.size)),
+    ("slice", "IndexRangeError", lambda a, m: views.slice_(m, S.everything())),
+    ("matmul", "LinalgError", lambda a, m: linalg.matmul(m, m)),
+    ("dot", "LinalgError", lambda a, m: linalg.dot(a, views.slice_(a, S.until(2)))),
+    ("inner", "LinalgError", lambda a, m: linalg.inner(a, m)),
+]
+
+
+@query("error_rules", _values([(name, error) for name, error, _ in _ERRORS]))
+def _error_rules(s, d):
+    a, m = C(s, d), P(s, d)
+    return _said(s, [(name, lambda f=f: f(a, m)) for name, _, f in _ERRORS])
+
+
 # combination
 _TWO = "SELECT i AS i0, j::BIGINT AS i1, round(v, 4) AS v FROM p UNION ALL "
 array_query("concatenate_axis0", _TWO + "SELECT i + (SELECT count(*) FROM part), j, round(v, 4) FROM p")(lambda s, d: combine.concatenate([P(s, d), P(s, d)], 0))
@@ -200,10 +257,8 @@ query("dot_vectors", f"SELECT round(sum(x * y), 2) AS v FROM {_PAIR}")(lambda s,
 array_query("dot_matrices", "SELECT a.j::BIGINT AS i0, b.j::BIGINT AS i1, round(sum(a.v * b.v), 2) AS v FROM p a JOIN p b ON a.i = b.i GROUP BY 1, 2", 2)(lambda s, d: linalg.dot(views.transpose(P(s, d)), P(s, d)))
 array_query("dot_matrix_vector", "SELECT i AS i0, round(sum(em.v * (SELECT b.v FROM e b WHERE b.i = em.j)), 4) AS v FROM em GROUP BY 1")(lambda s, d: linalg.dot(EM(s, d), views.slice_(E(s, d), S.until(COLUMNS))))
 array_query("dot_vector_matrix", "SELECT j AS i0, round(sum(em.v * (SELECT b.v FROM e b WHERE b.i = em.i)), 4) AS v FROM em GROUP BY 1")(lambda s, d: (lambda a: linalg.dot(views.slice_(E(s, d), S.until(a.shape[0])), a))(EM(s, d)))
-array_query("inner", "SELECT a.i AS i0, b.i AS i1, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.j = b.j WHERE b.i < 50 GROUP BY 1, 2", 6)(lambda s, d: (lambda a: linalg.inner(a, views.slice_(a, S.until(50), S.everything())))(M(s, d)))
-array_query("inner_whole", "SELECT a.j::BIGINT AS i0, b.j::BIGINT AS i1, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2", 6)(lambda s, d: (lambda a: linalg.inner(a, a))(views.transpose(M(s, d))))
-array_query("outer", "SELECT a.i AS i0, b.i AS i1, round(a.v * b.v, 4) AS v FROM (SELECT * FROM c WHERE i < 200) a, (SELECT * FROM e WHERE i < 100) b")(lambda s, d: linalg.outer(views.slice_(C(s, d), S.until(200)), views.slice_(E(s, d), S.until(100))))
-array_query("outer_whole", "SELECT a.i AS i0, b.j::BIGINT AS i1, round(a.v * b.v, 4) AS v FROM (SELECT i, max(v) AS v FROM m GROUP BY 1) a, (SELECT j, max(v) AS v FROM m GROUP BY 1) b")(lambda s, d: (lambda a: linalg.outer(reductions.max_axis(a, 1), reductions.max_axis(a, 0)))(M(s, d)))
+array_query("inner", "SELECT a.j::BIGINT AS i0, b.j::BIGINT AS i1, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2", 6)(lambda s, d: (lambda a: linalg.inner(a, a))(views.transpose(M(s, d))))
+array_query("outer", "SELECT a.i AS i0, b.j::BIGINT AS i1, round(a.v * b.v, 4) AS v FROM (SELECT i, max(v) AS v FROM m GROUP BY 1) a, (SELECT j, max(v) AS v FROM m GROUP BY 1) b")(lambda s, d: (lambda a: linalg.outer(reductions.max_axis(a, 1), reductions.max_axis(a, 0)))(M(s, d)))
 
 
 def big_vector(spark, n: int = 1 << 22):

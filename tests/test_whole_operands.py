@@ -25,14 +25,14 @@ def dense(df):
 
 def test_inner_takes_all_rows(spark):
     m = column("embeddings", "vec_id", "embedding")
-    assert np.allclose(dense(engine.QUERIES["inner_whole"](spark, DIR)), m.T @ m, rtol=0, atol=1e-6)
+    assert np.allclose(dense(engine.QUERIES["inner"](spark, DIR)), m.T @ m, rtol=0, atol=1e-6)
 
 
 def test_outer_takes_all_rows(spark):
     m = column("embeddings", "vec_id", "embedding")
-    assert np.allclose(dense(engine.QUERIES["outer_whole"](spark, DIR)), np.outer(m.max(1), m.max(0)), rtol=0, atol=1e-4)
+    assert np.allclose(dense(engine.QUERIES["outer"](spark, DIR)), np.outer(m.max(1), m.max(0)), rtol=0, atol=1e-4)
 
 
 def test_broadcast_of_both_takes_all_rows(spark):
     m = column("embeddings", "vec_id", "embedding")
-    assert np.allclose(dense(engine.QUERIES["broadcast_both_whole"](spark, DIR)), m.max(1, keepdims=True) + m.max(0, keepdims=True), rtol=0, atol=1e-4)
+    assert np.allclose(dense(engine.QUERIES["broadcast_both"](spark, DIR)), m.max(1, keepdims=True) + m.max(0, keepdims=True), rtol=0, atol=1e-4)
