@@ -1,10 +1,11 @@
 """Best-fit packing of documents into token sequences by the sum-of-squares rule.
 
 A piece goes where the sum, over residual gaps, of the squared number of open
-bins with that gap becomes smallest.  Shards of bounded size are packed on their
-own.  A bin is opened only where nothing has room, so a shard leaves one bin at
-most that is no more than half full; those are packed again as items, and so on
-until one shard holds them all.
+bins with that gap becomes smallest; opening a bin is one of the choices.  Shards
+of bounded size are packed on their own.  What stands in bins that the rule has
+not filled is packed again, and then a bin is opened only where nothing has room,
+so a shard leaves one bin at most that is no more than half full; those are
+packed again as items, and so on until one shard holds them all.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ _PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _OPEN = "item bigint, bin bigint, offset bigint, filled bigint"
 
 
-def sum_of_squares(sizes, capacity: int):
+def sum_of_squares(sizes, capacity: int, opening: bool = True):
     """Bins and offsets of items in the given order: arrays (bin, offset, filled by bin).
 
-    A new bin is opened only where no open one has room; with items in falling
-    order of size that needs fewer bins than letting the rule open bins freely.
+    A new bin is one of the choices, with the sum that opening it would give;
+    without opening, it is the choice only where no open bin has room.
     """
     import numpy as np
 
-    count = np.zeros(capacity + 1, np.int64)  # open bins by gap; full bins are not open
+    count = np.zeros(capacity + 1, np.int64)  # open bins by gap; full and new bins are not counted
     bins: dict[int, list[int]] = {}
     where, offset, filled = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), []
     gaps = np.arange(capacity + 1)
@@ -39,8 +40,10 @@ def sum_of_squares(sizes, capacity: int):
         change = count[: capacity + 1 - s] - count[s:]  # half the change, for a bin with gap s, s + 1, ...
         change[0] = -count[s]
         at = np.where(count[s:] > 0, 2 * change + 2 - (gaps[s:] == s), _NOWHERE)
+        if opening:
+            at[-1] = 2 * count[capacity - s] + 1 if s < capacity else 0
         k = int(at.argmin())
-        if at[k] < _NOWHERE:
+        if at[k] < _NOWHERE and k < capacity - s:
             gap = k + s
             b = bins[gap].pop()
             count[gap] -= 1
@@ -55,17 +58,30 @@ def sum_of_squares(sizes, capacity: int):
     return where, offset, np.array(filled, np.int64)
 
 
+def best_fit(sizes, capacity: int):
+    """Bins and offsets as of sum_of_squares; what the rule leaves in bins that are not full is packed again without opening."""
+    import numpy as np
+
+    where, offset, filled = sum_of_squares(sizes, capacity)
+    full = filled == capacity
+    again = np.flatnonzero(~full[where])
+    to, by, rest = sum_of_squares(np.asarray(sizes)[again], capacity, opening=False)
+    where = (np.cumsum(full) - 1)[where]
+    where[again], offset[again] = full.sum() + to, by
+    return where, offset, np.concatenate([filled[full], rest])
+
+
 def cut(docs: DataFrame, text: str, key: str, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
     """Pieces of at most capacity ids: id, piece, start, length, ids_crc32."""
     import pyarrow as pa
 
     def run(batches):
-        words, end = tokens.table(tokenizer), end_id.to_bytes(4, "little")
+        encode, end = tokens.encoder(tokenizer), end_id.to_bytes(4, "little")
         step = 4 * capacity
         for batch in batches:
             rows = ([], [], [], [], [])
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.packed_ids(t.as_py(), words) + end
+                ids = encode(t.as_py()) + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for column, value in zip(rows, (k, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -82,7 +98,7 @@ def _round(items: DataFrame, shards: int, capacity: int) -> DataFrame:
         import pandas as pd
 
         pdf = pdf.sort_values(["size", "item"], ascending=[False, True])
-        where, offset, filled = sum_of_squares(pdf["size"].to_numpy(), capacity)
+        where, offset, filled = best_fit(pdf["size"].to_numpy(), capacity)
         base = int(pdf["shard"].iloc[0]) << 24
         return pd.DataFrame({"item": pdf["item"].to_numpy(), "bin": base + where, "offset": offset, "filled": filled[where]})
 

@@ -50,6 +50,22 @@ def unframe(stream) -> bytes:
     return payload
 
 
+#: Hadoop's names of stores that Arrow knows by another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _store(uri: str):
+    """Arrow's file system and path of a Hadoop URI or a plain path; ValueError names stores that Arrow can't reach."""
+    from pyarrow.fs import FileSystem
+
+    scheme, sep, rest = uri.partition("://")
+    known = f"{_SCHEMES.get(scheme, scheme)}{sep}{rest}"
+    try:
+        return FileSystem.from_uri(f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not sep else known)
+    except Exception as e:
+        raise ValueError(f"{uri}: token files are written through Arrow, which does not know this store") from e
+
+
 def _publish(fs, folder: str, name: str, temporary: str) -> None:
     """Move a finished file into place; a second attempt of a task replaces the first one's equal file."""
     from pyarrow.fs import FileType
@@ -60,7 +76,7 @@ def _publish(fs, folder: str, name: str, temporary: str) -> None:
 
 
 def write(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write all documents in ascending key order below folder (a URI); returns one row per shard.
+    """Write all documents in ascending key order below folder (a URI of a store that Arrow reaches); returns one row per shard.
 
     Null and empty texts are the end id alone; null keys come last; rows with
     equal keys are ordered by text.  An empty table writes no files.
@@ -74,12 +90,11 @@ def write(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id",
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        shard, words, end = TaskContext.get().partitionId(), tokens.table(tokenizer), end_id.to_bytes(4, "little")
-        width = 2 if max(words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        fs, base = FileSystem.from_uri(folder)
+        shard, encode, end = TaskContext.get().partitionId(), tokens.encoder(tokenizer), end_id.to_bytes(4, "little")
+        width = 2 if max(encode.vocabulary, end_id + 1) <= 1 << 16 else 4
+        fs, base = _store(folder)
         name, temporary = f"part-{shard:06d}", f"{base}/_{uuid.uuid4().hex}"
         out, entries, at, count = None, [], 0, 0
         for batch in batches:
@@ -87,7 +102,7 @@ def write(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id",
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{temporary}.rec", buffer_size=1 << 20)
-                ids = tokens.packed_ids(t.as_py(), words) + end
+                ids = encode(t.as_py()) + end
                 n = len(ids) // 4
                 record = frame(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)
                 out.write(record)
@@ -108,9 +123,8 @@ def write(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id",
 def read_index(path: str):
     """Bytes per id and the entries (key, has key, offset, ids) of one shard, as a NumPy table."""
     import numpy as np
-    from pyarrow.fs import FileSystem
 
-    fs, base = FileSystem.from_uri(f"{path}.idx")
+    fs, base = _store(f"{path}.idx")
     with fs.open_input_stream(base) as f:
         data = f.read()
     magic, width, n = struct.unpack_from(_HEAD, data)
@@ -122,9 +136,8 @@ def read_index(path: str):
 def read_record(path: str, offset: int, width: int):
     """The ids of the record at an offset, for shuffled reads."""
     import numpy as np
-    from pyarrow.fs import FileSystem
 
-    fs, base = FileSystem.from_uri(f"{path}.rec")
+    fs, base = _store(f"{path}.rec")
     with fs.open_input_file(base) as f:
         f.seek(offset)
         return np.frombuffer(unframe(f), f"<u{width}").astype("<u4")
@@ -139,12 +152,11 @@ def read(spark: SparkSession, shards: DataFrame, with_ids: bool = True) -> DataF
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from pyarrow.fs import FileSystem
 
         for batch in batches:
             for path, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 width, index = read_index(path)
-                fs, base = FileSystem.from_uri(f"{path}.rec")
+                fs, base = _store(f"{path}.rec")
                 with fs.open_input_stream(base, buffer_size=1 << 20) as f:
                     for lo in range(0, len(index), 1000):
                         rows = ([], [], [], [], [])

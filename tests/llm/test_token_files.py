@@ -12,9 +12,7 @@ from gridloom.llm.common import new_folder
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def wanted(rows, tokenizer):
@@ -54,6 +52,14 @@ def test_repeated_rows_null_keys_and_clashing_names(odd, tokenizer):
     assert found == [x[:4] for x in wanted(rows, tokenizer)]
 
 
+def test_stores_by_their_hadoop_names(tmp_path):
+    for uri in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        fs, path = token_files._store(uri)
+        assert fs.type_name == "local" and path == str(tmp_path)
+    with pytest.raises(ValueError, match="does not know this store"):
+        token_files._store("nosuchstore://x/y")
+
+
 def test_frames_guard_their_bytes():
     import io
 
