@@ -7,9 +7,11 @@ State, all in the shared folder:
 * filters (shard, cuckoo): per key shard a cuckoo filter of the lines that
   enough documents hold.
 
-Inserting or deleting documents changes the references, and with them the
-filters: lines that reach the limit are inserted, lines that fall below it are
-deleted.  A document's lines are put to the filters first, and only what they
+Inserting or deleting documents adds what changes to these tables: pairs or the
+keys of documents that are gone, new counts of the lines concerned, and the
+filters of their shards, into which lines that reach the limit are inserted and
+from which lines that fall below it are deleted.  Tables are rewritten whole
+after every COMPACT changes only.  A document's lines are put to the filters first, and only what they
 may hold is looked up in the exact counts, so a filter's false positives never
 decide.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import HOT_KEYS, WHITE, lookup, stage
 
-SHARD_KEYS, GROUP_ROWS = 200_000, 200_000
+SHARD_KEYS, GROUP_ROWS, COMPACT = 200_000, 200_000, 8
 _REFS = "key binary, doc bigint"
 
 
@@ -177,6 +179,7 @@ class LineIndex:
     shards: int
     min_docs: int = 3
     least: int = 20
+    changes: int = 0
 
     @classmethod
     def build(cls, docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = 3, least: int = 20, shard_keys: int = SHARD_KEYS) -> LineIndex:
@@ -193,7 +196,7 @@ class LineIndex:
         return stage(refs.groupBy("key").agg(F.count("*").alias("refs"), F.max("doc").alias("last")), "op3-counts")
 
     def _update(self, changes: DataFrame) -> DataFrame:
-        """The filters after changes (key, add), shard by shard."""
+        """The filters of the shards that changes (key, add) concern, after them."""
 
         def run(pdf, old):
             import pandas as pd
@@ -207,23 +210,41 @@ class LineIndex:
             return pd.DataFrame({"shard": [shard], "cuckoo": [cuckoo.to_bytes()]})
 
         changes = changes.withColumn("shard", _shard(self.shards))
-        out = changes.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(run, "shard int, cuckoo binary")
+        concerned = self.filters.join(changes.select(F.col("shard").alias("_s")).distinct(), F.col("shard") == F.col("_s"), "left_semi")
+        out = changes.groupBy("shard").cogroup(concerned.groupBy("shard")).applyInPandas(run, "shard int, cuckoo binary")
         return stage(out, "op3-filters")
 
-    def _changed(self, refs: DataFrame) -> LineIndex:
-        counts = self._count(refs)
-        was, now = (c.where(F.col("refs") >= self.min_docs).select("key") for c in (self.counts, counts))
+    def _changed(self, refs: DataFrame, keys: DataFrame, counts: DataFrame) -> LineIndex:
+        """The index with new references, in which the lines in keys have the counts given (none: no references are left)."""
+        counts, key = stage(counts, "op3-counts"), keys.select(F.col("key").alias("_k"))
+        before = self.counts.join(key, F.col("key") == F.col("_k"), "left_semi")
+        was, now = (c.where(F.col("refs") >= self.min_docs).select("key") for c in (before, counts))
         changes = now.join(was, "key", "left_anti").withColumn("add", F.lit(True)).union(was.join(now, "key", "left_anti").withColumn("add", F.lit(False)))
-        return LineIndex(self.spark, refs, counts, self._update(changes), self.shards, self.min_docs, self.least)
+        filters = self._update(changes)
+        shards = filters.select(F.col("shard").alias("_s"))
+        tables = [refs, self.counts.join(key, F.col("key") == F.col("_k"), "left_anti").union(counts), self.filters.join(shards, F.col("shard") == F.col("_s"), "left_anti").union(filters)]
+        if whole := (self.changes + 1) % COMPACT == 0:
+            tables = [stage(t, f"op3-{tag}") for t, tag in zip(tables, ("refs", "counts", "filters"), strict=True)]
+        return LineIndex(self.spark, *tables, self.shards, self.min_docs, self.least, 0 if whole else self.changes + 1)
 
     def insert(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> LineIndex:
-        """Add documents; pairs that are there already change nothing."""
-        return self._changed(stage(self.references.union(references(docs, text, key, self.least)).distinct(), "op3-refs"))
+        """Add documents; pairs that are there already change nothing.  Shuffles what the documents bring, and the counts of their lines."""
+        found = stage(references(docs, text, key, self.least), "op3-new")
+        owner = found.select(F.col("doc").alias("_d")).distinct()
+        held = self.references.join(owner, F.col("doc").eqNullSafe(F.col("_d")), "left_semi").toDF("_k", "_o")
+        fresh = stage(found.join(held, (F.col("key") == F.col("_k")) & F.col("doc").eqNullSafe(F.col("_o")), "left_anti"), "op3-refs")
+        more = fresh.groupBy("key").agg(F.count("*").alias("_n"), F.max("doc").alias("_last"))
+        counts = more.join(self.counts, "key", "left").select("key", (F.coalesce("refs", F.lit(0)) + F.col("_n")).alias("refs"), F.greatest("last", "_last").alias("last"))
+        return self._changed(self.references.union(fresh), fresh.select("key").distinct(), counts)
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """Remove the documents in the first column of ids, as if they had never been inserted."""
-        gone = ids.select(F.col(ids.columns[0]).cast("bigint").alias("_gone")).distinct()
-        return self._changed(stage(self.references.join(gone, F.col("doc").eqNullSafe(F.col("_gone")), "left_anti"), "op3-refs"))
+        """Remove the documents in the first column of ids, as if they had never been inserted.  Shuffles the references of their lines."""
+        gone = stage(ids.select(F.col(ids.columns[0]).cast("bigint").alias("_gone")).distinct(), "op3-gone")
+        on = F.col("doc").eqNullSafe(F.col("_gone"))
+        keys = stage(self.references.join(gone, on, "left_semi").select("key").distinct(), "op3-keys")
+        left = self.references.join(gone, on, "left_anti")
+        counts = left.join(keys.toDF("_k"), F.col("key") == F.col("_k"), "left_semi").groupBy("key").agg(F.count("*").alias("refs"), F.max("doc").alias("last"))
+        return self._changed(left, keys, counts)
 
     def losses(self) -> DataFrame:
         """(doc, keys): the line keys that each indexed document loses, for documents that lose any."""

@@ -66,6 +66,22 @@ def test_insert_and_delete_are_reversible(docs, rows):
     assert sorted(map(repr, again.counts.collect())) == sorted(map(repr, whole.counts.collect()))
 
 
+def test_many_changes_end_where_one_build_does(spark, docs, rows, monkeypatch):
+    """Inserts and deletes in turn, across a compaction, give the tables of an index built at once."""
+    monkeypatch.setattr(line_dedup, "COMPACT", 3)
+    index = LineIndex.build(docs.where("doc_id < 0"), shard_keys=2)
+    index = index.insert(docs.where("doc_id between 0 and 99")).insert(docs.where("doc_id >= 100"))
+    index = index.delete(spark.createDataFrame([(x,) for x in (1, 4, 604, 10**9)], "doc_id bigint")).delete(docs.where("doc_id > 500").select("doc_id"))
+    index = index.insert(docs.where("doc_id >= 500 or doc_id in (1, 4)"))
+    kept, built = index, LineIndex.build(docs, shard_keys=2)
+    assert kept.changes < 3
+    for table in ("references", "counts"):
+        assert sorted(map(repr, getattr(kept, table).collect())) == sorted(map(repr, getattr(built, table).collect()))
+    assert shown(line_dedup.rewrite(docs, kept.losses())) == brute([r[:2] for r in rows])
+    only = kept.filters.groupBy("shard").count().where("count > 1").count()
+    assert only == 0  # one filter a shard
+
+
 def test_cuckoo_filter():
     rng = random.Random(1)
     keys = [rng.randbytes(16) for _ in range(6000)]
