@@ -46,7 +46,17 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more, long before the driver's JVM ends."""
+    for table in tables:
+        spark = table.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def lower_ascii(col):
@@ -74,25 +84,28 @@ def components(edges: DataFrame, tag: str = "cc", most: int = 60) -> DataFrame:
     """Connected components of (u, v) as (node, root), root the smallest node reachable.
 
     Alternates large-star and small-star rewrites of the edge table, which reach
-    a forest of stars in about log² rounds; each round is written to the shared folder.
+    a forest of stars in about log² rounds; each round is written to the shared
+    folder, and the round before it removed.  Nodes with very many neighbours are
+    looked up by broadcast, HOT_KEYS at most a side.
     """
     e = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), tag)
-    before = None
+    n, before = e.count(), None
     for _ in range(most):
+        hot = F.col("n") >= F.lit(max(1000, 2 * n // HOT_KEYS + 1))
         # large star: every larger neighbour of a node goes to the node's least neighbour
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), tag)
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), tag)
+        large = lookup(both, "u", least, "u", hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.where("u <> v").distinct(), tag)
         # small star: a node and its smaller neighbours go to the least of them
-        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), tag)
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = stage(small.where("u <> v").distinct(), tag)
+        lower = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), tag)
+        small = lookup(large, "u", lower, "u", hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
+        old, e = e, stage(small.where("u <> v").distinct(), tag)
+        drop(old, least, large, lower)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        n, before = now[0], now
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

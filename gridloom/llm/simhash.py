@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import HOT_KEYS, components, lookup, stage
 
 BITS = 64
-#: A bucket beyond this size is split by more bits, once by each of these ways to cut all bits into blocks;
-#: what is then together shares most of its bits and is verified together, however much it is.
+#: A bucket beyond this size is split by more bits, once by each of these ways to cut all bits into blocks; what is
+#: then together shares most of its bits.  Buckets still beyond it are dealt in parts, and each two parts meet in a task.
 BUCKET_ROWS = 20_000
 SPLITS = (
     lambda n: [sum(1 << b for b in range(BITS) if b % n == k) for k in range(n)],
@@ -185,6 +185,16 @@ def links(fps: DataFrame, distance: int = 3, bucket_rows: int = BUCKET_ROWS, cho
         large = large.withColumn("block", F.explode(F.array(*[F.lit(_signed(b)) for b in blocks(distance + 1)])))
         new = F.col("fp").bitwiseAND(F.col("block")).bitwiseAND(F.bitwise_not("mask"))
         rest = stage(large.select("fp", F.col("mask").bitwiseOR(F.col("block")).alias("mask"), F.col("v").bitwiseOR(new).alias("v"), "probe"), "op4-split")
+    else:
+        sizes = rest.groupBy("mask", "v").count().where(F.col("count") > bucket_rows)
+        parts = F.ceil(F.col("count") / F.lit(max(1, bucket_rows // 2))).cast("bigint")
+        big = stage(sizes.select(F.col("mask").alias("_m"), F.col("v").alias("_v"), parts.alias("_parts")), "op4-big")
+        on = (F.col("mask") == F.col("_m")) & (F.col("v") == F.col("_v"))
+        large = rest.join(big, on).withColumn("_own", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("_parts")))
+        large = large.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
+        pair = F.greatest("_own", "_other") * F.col("_parts") + F.least("_own", "_other")
+        out = out.union(verified(large.select("fp", "mask", "v", "probe", pair.alias("part")), distance))
+        rest = rest.join(big, on, "left_anti")
     return verified(rest, distance) if out is None else out.union(verified(rest, distance))
 
 
@@ -211,14 +221,15 @@ def spanning(fp, distance: int):
 
 
 def verified(buckets: DataFrame, distance: int, small: int = 48) -> DataFrame:
-    """Spanning links of each bucket (mask, v), checked on all bits."""
+    """Spanning links of each bucket (mask, v) or of each two parts of one (mask, v, part), checked on all bits."""
+    names = ("mask", "v", *(["part"] if "part" in buckets.columns else []))
 
-    def flush(mask, value, fp, probe):
+    def flush(keys, fp, probe):
         import numpy as np
 
-        order = np.lexsort((fp, value, mask))
-        mask, value, fp, probe = mask[order], value[order], fp[order].view(np.uint64), probe[order]
-        edge = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])
+        order = np.lexsort((fp, *keys[::-1]))
+        keys, fp, probe = [k[order] for k in keys], fp[order].view(np.uint64), probe[order]
+        edge = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
         size = np.diff(np.r_[edge, len(fp)])
         us, vs = [], []
         for at, n in zip(edge[size > small].tolist(), size[size > small].tolist(), strict=True):
@@ -249,22 +260,22 @@ def verified(buckets: DataFrame, distance: int, small: int = 48) -> DataFrame:
         held: list = []
         for batch in [*_with_end(batches)]:
             if batch is not None:
-                held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+                held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + len(names))])
                 if sum(len(x[0]) for x in held) < 400_000:
                     continue
             if not held:
                 continue
-            fp, mask, value, probe = (np.concatenate(x) for x in zip(*held, strict=True))
+            fp, probe, *keys = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = len(fp)
             if batch is not None:  # the last bucket may go on
-                same = (mask == mask[-1]) & (value == value[-1])
+                same = np.all([k == k[-1] for k in keys], axis=0)
                 cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            held = [[x[cut:] for x in (fp, mask, value, probe)]] if cut < len(fp) else []
+            held = [[x[cut:] for x in (fp, probe, *keys)]] if cut < len(fp) else []
             if cut:
-                u, v = flush(mask[:cut], value[:cut], fp[:cut], probe[:cut])
+                u, v = flush([k[:cut] for k in keys], fp[:cut], probe[:cut])
                 yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
 
-    dealt = buckets.select("fp", "mask", "v", "probe").repartition("mask", "v").sortWithinPartitions("mask", "v")
+    dealt = buckets.select("fp", "probe", *names).repartition(*names).sortWithinPartitions(*names)
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
