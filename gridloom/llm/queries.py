@@ -76,10 +76,36 @@ def op6_embedding_dedup(spark, sf_dir):
     return embedding_dedup.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+#: All pairs of equal labels, and the closure of their links.
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+ WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.v, r.root FROM r JOIN p ON p.u = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), n AS (SELECT u, count(*) AS n_links FROM p GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON u = vec_id
+"""
+
+
 def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup.drop_repeats(_docs(spark, sf_dir).select("doc_id", "text")).drop("kept")
 
 
+#: Every string of 50 bytes with the least document that holds it, then the runs that those of others cover.
+OP7_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 49)) AS i, h FROM b), s AS (SELECT doc_id, i, h[i + 1 : i + 50] AS s FROM w),
+f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s JOIN f USING (s) WHERE first < doc_id),
+m AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM m GROUP BY doc_id, run),
+k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM r),
+x AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(CASE WHEN lo > since THEN hex(h[since + 1 : lo]) ELSE '' END, '' ORDER BY lo) AS kept FROM k JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(coalesce(kept, '') || CASE WHEN n > coalesce(last, 0) THEN hex(h[coalesce(last, 0) + 1 : n]) ELSE '' END)) AS kept_sha256 FROM b LEFT JOIN x USING (doc_id)
+"""
+
+
 def op9_language_id(spark, sf_dir):
     return langid.identify(_docs(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -89,4 +115,4 @@ def op10_html_text(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_best_fit_packing, op3_line_dedup, op4_simhash, op5_token_files, op6_embedding_dedup, op7_suffix_dedup, op8_exact_dedup, op9_language_id, op10_html_text)}
-SQL = {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_exact_dedup": OP8_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}
