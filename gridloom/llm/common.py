@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is hot from this share of all rows on, so at most this many keys are hot.
 HOT_KEYS = 1000
+#: So many rows of two integers are no burden to one task, whichever keys they have.
+PLAIN_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,17 +93,19 @@ def components(edges: DataFrame, tag: str = "cc", most: int = 60) -> DataFrame:
     e = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), tag)
     n, before = e.count(), None
     for _ in range(most):
-        hot = F.col("n") >= F.lit(max(1000, 2 * n // HOT_KEYS + 1))
+        hot, few = F.col("n") >= F.lit(max(1000, 2 * n // HOT_KEYS + 1)), 2 * n <= PLAIN_ROWS
+        keep = (lambda t: t) if few else (lambda t: stage(t, tag))
+        meet = (lambda rows, t: rows.join(t, "u")) if few else (lambda rows, t, hot=hot: lookup(rows, "u", t, "u", hot))
         # large star: every larger neighbour of a node goes to the node's least neighbour
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), tag)
-        large = lookup(both, "u", least, "u", hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = meet(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.where("u <> v").distinct(), tag)
         # small star: a node and its smaller neighbours go to the least of them
-        lower = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), tag)
-        small = lookup(large, "u", lower, "u", hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
+        lower = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = meet(large, lower).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
         old, e = e, stage(small.where("u <> v").distinct(), tag)
-        drop(old, least, large, lower)
+        drop(old, large, *(() if few else (least, lower)))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

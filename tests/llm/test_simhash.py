@@ -118,8 +118,10 @@ def test_large_group_of_copies(spark):
     assert out.where("doc_id % 3 > 0").select("component_id").distinct().count() == 1
 
 
-def test_components_with_hot_nodes(spark):
-    """Nodes with a thousand neighbours and more are looked up by broadcast."""
+@pytest.mark.parametrize("plain", [0, 200_000])
+def test_components_with_hot_nodes(spark, monkeypatch, plain):
+    """Beyond so many rows, nodes with a thousand neighbours and more are looked up by broadcast."""
+    monkeypatch.setattr("gridloom.llm.common.PLAIN_ROWS", plain)
     edges = [(0, k) for k in range(1, 2500)] + [(k, k + 5000) for k in range(1, 2500)] + [(9001, 9000)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert found == {k: 0 for k in [*range(2500), *range(5001, 7500)]} | {9000: 9000, 9001: 9000}
