@@ -31,6 +31,8 @@ ANCHOR = 16
 #: Text bytes for each anchor group, shared anchors for each passage group, bytes of each text group,
 #: bytes hashed at a time, strings of an array in a task, and surroundings that a task holds before it settles them.
 GROUP_BYTES, GROUP_ANCHORS, TEXT_BYTES, PIECE_BYTES, BATCH, HELD = 16_000_000, 80_000, 2_000_000, 1 << 19, 20_000, 200_000
+#: Text groups of a task: tasks grow in number, not in size.
+TASK_GROUPS = 8
 #: An anchor with more documents than this, and than one in HOT_SHARE of all anchors, is dealt string by string; there are HOT_SHARE such at most.
 HOT_DOCS, HOT_SHARE = 2_000, 1_000_000
 _DEALT = "bucket int, kind int, low binary, doc binary, n binary"
@@ -264,7 +266,8 @@ def _dealt(rows: DataFrame, packed: DataFrame, dests: int) -> DataFrame:
     dest = F.pmod(_spread(F.col("doc"), F.shiftright, lambda a, b: a.bitwiseXOR(b)), F.lit(dests).cast("bigint"))
     texts = _packed(rows.select(dest.alias("dest"), F.col("key").isNotNull().alias("keyed"), "doc", "row", "text"))
     texts = texts.select("*", *[F.lit(None).cast("binary").alias(c) for c in packed.columns[1:]])
-    return texts.unionByName(packed, allowMissingColumns=True).repartition("dest").sortWithinPartitions("dest", F.col("text").isNotNull())
+    both = texts.unionByName(packed, allowMissingColumns=True)
+    return both.repartition(int(dests // TASK_GROUPS + 1), "dest").sortWithinPartitions("dest", F.col("text").isNotNull())
 
 
 def _pieces_of(columns, schema: str):
