@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import HOT_KEYS, WORD, lookup, stage
 
-#: From so many sources on, targets are joined by a shuffle rather than broadcast (about 20 MB).
-BROADCAST_SOURCES = 200_000
+#: Targets are broadcast as far as their sources take so many bytes, and joined by a shuffle beyond that.
+BROADCAST_BYTES = 20_000_000
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -53,8 +53,8 @@ def plan_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", source
     d = d.withColumns({"size": F.coalesce(F.regexp_count(F.col(inner[text]), F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint")), "of_source": of_source})
     sums = d.groupBy("of_source", own_source.alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = stage(source_targets(sums, **weights), "op1").select(F.col("of_source").alias("to"), "source_size", "target", "rows")
-    sources, total = targets.agg(F.count("*"), F.sum("rows")).first()
-    if sources <= BROADCAST_SOURCES:
+    size, total = targets.agg(F.sum(F.octet_length("to") + 40), F.sum("rows")).first()
+    if (size or 0) <= BROADCAST_BYTES:
         d = d.join(F.broadcast(targets), F.col("of_source") == F.col("to"), "left")
     else:
         d = lookup(d, "of_source", targets, "to", F.col("rows") >= F.lit(total // HOT_KEYS + 1))

@@ -68,5 +68,12 @@ def test_mix_emits_each_document_as_planned(odd):
     assert sorted(map(repr, mixed.distinct().collect())) == sorted({repr(r) for r in odd.collect()} & {repr(r) for r in mixed.collect()})
 
 
+def test_many_sources_take_the_join(odd, monkeypatch):
+    seen = sorted(map(repr, mixing.plan_copies(odd).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(mixing, "HOT_KEYS", 2)  # the larger sources are looked up by broadcast all the same
+    assert sorted(map(repr, mixing.plan_copies(odd).collect())) == seen
+
+
 def test_empty(nothing):
     assert mixing.plan_copies(nothing).count() == 0 and mixing.mix(nothing).count() == 0
