@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import HOT_KEYS, components, lookup, stage
 
 #: Vectors that codebooks are fitted on, most vectors of a cell and most probes of it in one block, and bytes of crowded cells that are broadcast.
-TRAIN_ROWS, BLOCK_ROWS, BROADCAST_BYTES = 20_000, 512, 20_000_000
+TRAIN_ROWS, BLOCK_ROWS, BROADCAST_BYTES = 20_000, 4_096, 20_000_000
+#: Blocks are smaller where there are few vectors: one in BLOCK_SHARE of them, but LEAST_BLOCK at least.
+BLOCK_SHARE, LEAST_BLOCK = 200, 256
 #: Brute-force queries for the radius: the next number is drawn while fewer links than ENOUGH are met.
 PROBE_ROWS, ENOUGH = (256, 1024, 4096), 64
 MARGIN = 1.25
@@ -217,8 +219,9 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     placed = classes.select("cid", "grp", "vec", "n").mapInArrow(place, "cid bigint, grp string, vec binary, n bigint, cell bigint, probe boolean")
     # crowded cells are split by vectors and by probes; each block of the one meets each block of the other
-    sizes = placed.groupBy("grp", "cell").agg(F.count_if("probe").alias("q"), F.count_if(~F.col("probe")).alias("x")).where((F.col("x") > 0) & (F.greatest("q", "x") > BLOCK_ROWS))
-    blocks = [F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_ROWS)).cast("int").alias(f"{c}s") for c in ("x", "q")]
+    room = min(BLOCK_ROWS, max(LEAST_BLOCK, total // BLOCK_SHARE))
+    sizes = placed.groupBy("grp", "cell").agg(F.count_if("probe").alias("q"), F.count_if(~F.col("probe")).alias("x")).where((F.col("x") > 0) & (F.greatest("q", "x") > room))
+    blocks = [F.greatest(F.lit(1), F.ceil(F.col(c) / room)).cast("int").alias(f"{c}s") for c in ("x", "q")]
     sizes = stage(sizes.select(F.col("grp").alias("_g"), F.col("cell").alias("_c"), *blocks), "op6-cells")
     crowded = sizes.agg(F.sum(F.octet_length("_g") + 40)).first()[0] or 0
     split = F.broadcast(sizes) if crowded <= BROADCAST_BYTES else sizes
