@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 ANCHOR = 16
 #: Text bytes for each anchor group, shared anchors for each passage group, bytes of each text group,
@@ -620,12 +620,13 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
     rows = _rows(docs, text, key)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     dests, buckets = total // TEXT_BYTES + 1, max(1, -(-total // GROUP_BYTES))
-    found = stage(_anchor_groups(rows, length, buckets, dests, max(HOT_DOCS, total // HOT_SHARE)), "op7-anchors")
-    hot = [restored(r.docs) << 32 | restored(r.a) for r in found.where("dest < 0").collect()]  # HOT_SHARE numbers at most
+    table = stage(_anchor_groups(rows, length, buckets, dests, max(HOT_DOCS, total // HOT_SHARE)), "op7-anchors")
+    hot = [restored(r.docs) << 32 | restored(r.a) for r in table.where("dest < 0").collect()]  # HOT_SHARE numbers at most
     hot = np.sort(np.concatenate([np.empty(0, np.int64), *hot]))
-    found = found.where("dest >= 0")
+    found = table.where("dest >= 0")
     anchors = found.agg(F.sum(F.octet_length("a"))).first()[0] or 0
     cuts = stage(_passage_groups(rows, found, length, max(1, -(-anchors // 3 // GROUP_ANCHORS)), dests, (buckets, hot)), "op7-cuts")
+    drop(table)
     return _cut(rows, cuts, dests, key, docs.schema[key].dataType)
 
 
