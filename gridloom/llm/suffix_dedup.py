@@ -19,6 +19,7 @@ come batch by batch.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass
 
@@ -30,9 +31,13 @@ from .common import drop, stage
 ANCHOR = 16
 #: Text bytes for each anchor group, shared anchors for each passage group, bytes of each text group,
 #: bytes hashed at a time, strings of an array in a task, and surroundings that a task holds before it settles them.
-GROUP_BYTES, GROUP_ANCHORS, TEXT_BYTES, PIECE_BYTES, BATCH, HELD = 16_000_000, 80_000, 2_000_000, 1 << 19, 20_000, 200_000
+#: What is dealt is a packed row for each two groups that meet, so rows grow with the square of the number of groups:
+#: groups are as large as a task's memory allows.
+GROUP_BYTES, GROUP_ANCHORS, TEXT_BYTES, PIECE_BYTES, BATCH, HELD = 16_000_000, 240_000, 8_000_000, 1 << 19, 20_000, 320_000
 #: Text groups of a task: tasks grow in number, not in size.
-TASK_GROUPS = 8
+TASK_GROUPS = 2
+#: Open surroundings whose strings a task holds at once, whole anchors each time.
+OPEN = 40_000
 #: An anchor with more documents than this, and than one in HOT_SHARE of all anchors, is dealt string by string; there are HOT_SHARE such at most.
 HOT_DOCS, HOT_SHARE = 2_000, 1_000_000
 _DEALT = "bucket int, kind int, low binary, doc binary, n binary"
@@ -41,26 +46,34 @@ _PASSAGES = "bucket int, kind int, h binary, doc binary, row binary, start binar
 _CUTS = "dest bigint, docs binary, rows binary, start binary, stop binary"
 
 
+@functools.cache
+def _zstd():
+    """Functions that compress and decompress, one pair a worker."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
 def squeezed(x) -> bytes:
     """An array of integers, compressed byte plane by byte plane."""
     import numpy as np
-    import zstandard
 
     x = np.asarray(x, np.int64)
-    base = int(x.min()) if len(x) else 0
-    planes = (x - base).view(np.uint64).view(np.uint8).reshape(-1, 8)
-    used = max([k + 1 for k in range(8) if planes[:, k].any()], default=0)
-    return base.to_bytes(8, "little", signed=True) + len(x).to_bytes(8, "little") + bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes[:, :used].T.tobytes())
+    base, most = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    used = ((most - base).bit_length() + 7) // 8
+    planes = (x - base).view(np.uint8).reshape(-1, 8)[:, :used].T.tobytes() if used else b""
+    return base.to_bytes(8, "little", signed=True) + len(x).to_bytes(8, "little") + bytes([used]) + (_zstd()[0](planes) if used else b"")
 
 
 def restored(data: bytes):
     import numpy as np
-    import zstandard
 
     base, n, used = int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:16], "little"), data[16]
+    if not used:
+        return np.full(n, base)
     planes = np.zeros((n, 8), np.uint8)
-    planes[:, :used] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[17:]), np.uint8).reshape(used, n).T
-    return planes.reshape(-1).view(np.uint64).view(np.int64) + base
+    planes[:, :used] = np.frombuffer(_zstd()[1](data[17:]), np.uint8).reshape(used, n).T
+    return planes.reshape(-1).view(np.int64) + base
 
 
 def pieces(texts, length: int):
@@ -229,12 +242,11 @@ def _bytes(column) -> list[bytes]:
 def _packed(rows: DataFrame) -> DataFrame:
     """rows with text as compressed UTF-8, for a shuffle."""
     import pyarrow as pa
-    import zstandard
 
     at = rows.columns.index("text")
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = _zstd()[0]
         for batch in batches:
             columns = list(batch.columns)
             columns[at] = pa.array([squeeze(t) for t in _bytes(batch.column(at))], pa.binary())
@@ -319,7 +331,8 @@ def _anchor_groups(docs: DataFrame, length: int, buckets: int, dests: int, hot_d
             # kind 0 asks, kind 1 tells (first and last document of several), kind 2 is settled here
             several = np.repeat(count > 1, count)
             for kind, chosen in ((0, np.flatnonzero(~several)), (1, np.flatnonzero(several & (first | last))), (2, np.flatnonzero(several))):
-                to = bucket[chosen] if kind < 2 else d[chosen] % buckets
+                # any bucket passes on what is settled, so that goes to a few
+                to = bucket[chosen] if kind < 2 else (ids[0] + d[chosen] % 8) % buckets
                 order = np.argsort(to, kind="stable")
                 chosen, to = chosen[order], to[order]
                 if not len(to):
@@ -385,14 +398,13 @@ class _Run:
 def _dealt_rows(kind: int, bucket, strings, h, doc, row, start, size):
     """Rows of _PASSAGES, one for each bucket."""
     import numpy as np
-    import zstandard
 
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[: len(bucket)]
     for lo, hi in zip(edge, [*edge[1:], len(bucket)], strict=False):
         part = order[lo:hi]
-        body = zstandard.ZstdCompressor(level=1).compress(strings[part].tobytes()) if strings is not None else b""
+        body = _zstd()[0](strings[part].tobytes()) if strings is not None else b""
         yield int(bucket[lo]), kind, squeezed(h[part]), squeezed(doc[part]), squeezed(row[part]), squeezed(start[part]), squeezed(size[part]), body
 
 
@@ -416,7 +428,8 @@ def _dealt_run(run: _Run, buckets: int, hot, named):
         cut = (d[which[lost]], r[which[lost]], where[lost], where[lost] + run.length)
         cuts = tuple(np.concatenate(x) for x in zip(cuts, cut, strict=True))
     (d, r), lo, hi = runs(list(cuts[:2]), *cuts[2:])
-    return out + [*_dealt_rows(1, d % buckets, None, np.zeros(len(d), np.int64), d, r, lo, hi - lo)]
+    # any bucket passes cuts on: these stay together in one row
+    return out + [*_dealt_rows(1, np.full(len(d), d[0] % buckets if len(d) else 0), None, np.zeros(len(d), np.int64), d, r, lo, hi - lo)]
 
 
 def _settled(rows, length: int, old=()):
@@ -425,7 +438,6 @@ def _settled(rows, length: int, old=()):
     old are levels (strings, low halves, sizes) of documents that come before all others.
     """
     import numpy as np
-    import zstandard
 
     width, before = 2 * length - ANCHOR + 2, -(2**63)
     cuts, places, n = [[], [], [], []], [], 0
@@ -458,7 +470,7 @@ def _settled(rows, length: int, old=()):
             cut(place[1], place[2], place[3], place[3] + place[4])
             continue
         wide = width if kind == 0 else length
-        strings = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).view(f"S{wide}")
+        strings = np.frombuffer(_zstd()[1](body), np.uint8).view(f"S{wide}")
         held[kind].append((strings, *place))
         if sum(len(x[0]) for x in held[kind]) >= BATCH:
             flush(kind)
@@ -475,19 +487,22 @@ def _settled(rows, length: int, old=()):
         new = np.flatnonzero(np.r_[True, low[tags[order]][1:] != low[tags[order]][:-1]])
         differ = np.minimum.reduceat(number[order], new) != np.maximum.reduceat(number[order], new)
         fresh = np.maximum.reduceat(doc[tags[order]], new) > before
-        open_ = order[np.repeat(differ & fresh, np.diff(np.r_[new, len(order)]))]
-        open_ = open_[np.argsort(doc[tags[open_]], kind="stable")]
-        family, origin, inside, m = SuffixFamily(length), [], [], 0
-        for lo in range(0, len(open_), BATCH):
-            part = open_[lo : lo + BATCH]
-            found, which, inner = windows(strings[part], size[tags[part]], length)
-            origin.append(tags[part][which])
-            inside.append(inner)
-            lost = family.add(found, doc[tags[part]][which], m + np.arange(len(which)))
-            m += len(which)
-            if len(lost):
-                t, i = np.concatenate(origin)[lost], np.concatenate(inside)[lost]
-                cut(doc[t], row[t], start[t] + i, start[t] + i + length)
+        count = np.diff(np.r_[new, len(order)])
+        open_, count = order[np.repeat(differ & fresh, count)], count[differ & fresh]
+        # strings of two anchors never match: each run of whole anchors has a family of its own
+        for group in np.split(open_, np.cumsum(count)[np.flatnonzero(np.diff(np.cumsum(count) // OPEN))]):
+            group = group[np.argsort(doc[tags[group]], kind="stable")]
+            family, origin, inside, m = SuffixFamily(length), [], [], 0
+            for lo in range(0, len(group), BATCH):
+                part = group[lo : lo + BATCH]
+                found, which, inner = windows(strings[part], size[tags[part]], length)
+                origin.append(tags[part][which])
+                inside.append(inner)
+                lost = family.add(found, doc[tags[part]][which], m + np.arange(len(which)))
+                m += len(which)
+                if len(lost):
+                    t, i = np.concatenate(origin)[lost], np.concatenate(inside)[lost]
+                    cut(doc[t], row[t], start[t] + i, start[t] + i + length)
     spans = [np.concatenate([np.empty(0, np.int64), *x]) for x in cuts]
     new = doc[tags] > before
     return spans, (strings[new], low[tags][new], size[tags][new])
@@ -505,7 +520,6 @@ def _known(docs_of, low_of):
 def _passage_groups(docs: DataFrame, found: DataFrame, length: int, buckets: int, dests: int, hot) -> DataFrame:
     """(dest, docs, rows, start, stop): spans of bytes to drop, packed by text group; hot names anchors that are dealt by string."""
     import numpy as np
-    import zstandard
 
     anchor_buckets, hot = hot
 
@@ -514,7 +528,7 @@ def _passage_groups(docs: DataFrame, found: DataFrame, length: int, buckets: int
 
     def deal(batches):
         at, pairs, table, run = None, [], None, _Run(length)
-        grow = zstandard.ZstdDecompressor().decompress
+        grow = _zstd()[1]
         for batch in batches:
             ids, rows, texts, known = [], [], [], []
             for dest, doc, row, text, docs_, a in zip(*(batch.column(n).to_pylist() for n in ("dest", "doc", "row", "text", "docs", "a")), strict=True):
@@ -574,11 +588,10 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
 def _cut(rows: DataFrame, cuts: DataFrame, dests: int, key: str, key_type) -> DataFrame:
     """The result for rows of which cuts names the spans that go."""
     import pyarrow as pa
-    import zstandard
 
     def cut(batches):
         at, spans = None, {}
-        grow = zstandard.ZstdDecompressor().decompress
+        grow = _zstd()[1]
         for batch in batches:
             out = ([], [], [], [], [], [], [])
             # of each text group the spans come first, then the documents
@@ -657,7 +670,6 @@ class SuffixIndex:
         """
         import numpy as np
         import pandas as pd
-        import zstandard
 
         length, buckets = self.length, self.buckets
         rows = _rows(docs, text, key)
@@ -682,13 +694,13 @@ class SuffixIndex:
         def settle(new, old):
             levels = []
             for h, size, body in zip(old["h"], old["size"], old["body"], strict=True):
-                strings = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).view(f"S{2 * length - ANCHOR + 2}")
+                strings = np.frombuffer(_zstd()[1](body), np.uint8).view(f"S{2 * length - ANCHOR + 2}")
                 levels.append((strings, restored(h), restored(size)))
             (doc, row, lo, hi), (strings, low, size) = _settled(zip(*(new[c] for c in ("kind", "h", "doc", "row", "start", "size", "body")), strict=True), length, levels)
             (doc, row), lo, hi = runs([doc, row], lo, hi)
             out = _by_group(dests, doc, docs=doc, rows=row, start=lo, stop=hi)
             if len(strings):
-                level = pd.DataFrame({"bucket": [int(new["bucket"].iloc[0])], "h": [squeezed(low)], "size": [squeezed(size)], "body": [zstandard.ZstdCompressor(level=1).compress(strings.tobytes())]})
+                level = pd.DataFrame({"bucket": [int(new["bucket"].iloc[0])], "h": [squeezed(low)], "size": [squeezed(size)], "body": [_zstd()[0](strings.tobytes())]})
                 out = pd.concat([out, level])
             out["dest"], out["bucket"] = (out[c].astype("Int64") if c in out else pd.array([pd.NA] * len(out), "Int64") for c in ("dest", "bucket"))
             return out.reindex(columns=["dest", "docs", "rows", "start", "stop", "bucket", "h", "size", "body"]).astype({c: object for c in ("docs", "rows", "start", "stop", "h", "size", "body")}).where(lambda x: x.notna(), None)
@@ -712,16 +724,15 @@ class SuffixIndex:
     def _merge(self) -> None:
         """The last two levels become one."""
         import numpy as np
-        import zstandard
 
         wide = 2 * self.length - ANCHOR + 2
 
         def run(pdf):
             import pandas as pd
 
-            strings, low, size = (np.concatenate(x) for x in zip(*((np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).view(f"S{wide}"), restored(h), restored(s)) for h, s, b in zip(pdf["h"], pdf["size"], pdf["body"], strict=True)), strict=True))
+            strings, low, size = (np.concatenate(x) for x in zip(*((np.frombuffer(_zstd()[1](b), np.uint8).view(f"S{wide}"), restored(h), restored(s)) for h, s, b in zip(pdf["h"], pdf["size"], pdf["body"], strict=True)), strict=True))
             order = np.argsort(strings, kind="stable")  # rising runs
-            return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "h": [squeezed(low[order])], "size": [squeezed(size[order])], "body": [zstandard.ZstdCompressor(level=1).compress(strings[order].tobytes())]})
+            return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "h": [squeezed(low[order])], "size": [squeezed(size[order])], "body": [_zstd()[0](strings[order].tobytes())]})
 
         (a, m), (b, n) = self.levels[-2:]
         self.levels[-2:] = [(stage(a.unionByName(b).groupBy("bucket").applyInPandas(run, _LEVEL), "op7-level"), m + n)]

@@ -135,6 +135,24 @@ def hot_anchors(df):
     return [x for r in found.where("dest < 0").collect() for x in suffix_dedup.restored(r.a).tolist()]
 
 
+def test_dealt_rows_do_not_grow_with_the_square_of_the_table():
+    """What a task has settled stays in one row, whatever the number of buckets, and groups that meet are few at 6 GB."""
+    run, n = suffix_dedup._Run(50), 400
+    data = bytes(range(60)) * n
+    at = 60 * np.arange(n)
+    run.take(data, at, at, np.full(n, 7, np.uint64), np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64))
+    rows = suffix_dedup._dealt_run(run, 300, np.empty(0, np.int64), None)
+    assert [len(suffix_dedup.restored(r[3])) for r in rows if r[1] == 1] == [n - 1]
+    texts, anchors, passages = (6e9 / x for x in (suffix_dedup.TEXT_BYTES, suffix_dedup.GROUP_BYTES, 17 * suffix_dedup.GROUP_ANCHORS))
+    assert texts * passages < 1.5e6 and texts * anchors < 0.5e6
+
+
+def test_open_anchors_are_settled_in_runs(docs, rows, spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "OPEN", 3)
+    for table, wanted in ((docs, rows), (spark.createDataFrame([(9 - k, f"{k:x}" * 40 + "0123456789abcdefghijklmnopqrstuvwxyz" * 2 + f"{k % 4}" * 40) for k in range(10)], "doc_id bigint, text string"), None)):
+        assert shown(suffix_dedup.drop_repeats(table)) == brute([r[:2] for r in wanted or table.collect()])
+
+
 def test_squeezed_arrays_come_back():
     for x in ([], [5], [-(2**63), 2**63 - 1, 0], [7, 7, 7], list(range(100_000))):
         assert suffix_dedup.restored(suffix_dedup.squeezed(np.array(x, np.int64))).tolist() == x
